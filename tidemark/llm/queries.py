@@ -7,6 +7,7 @@ from importlib import import_module
 _NAMES = {
     "op2_token_files": "token_files",
     "op5_packing": "packing",
+    "op7_secrets": "secrets",
     "op8_quality_rules": "quality",
     "op10_length_totals": "length_totals",
 }
