@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _NAMES = {
+    "op1_near_dedup": "near_dedup",
     "op2_token_files": "token_files",
     "op5_packing": "packing",
     "op7_secrets": "secrets",
