@@ -138,5 +138,5 @@ def masked(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(STRONG)]
+    counts = [shared.count_of("base", "kind", i).alias(f"n_{k.name}") for i, k in enumerate(STRONG)]
     return rows.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))

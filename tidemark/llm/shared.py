@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -79,5 +79,10 @@ def running_totals(df: DataFrame, block: str, order: str, totals: dict[str, str]
     return joined.drop(*[f"_before_{n}" for n in totals])
 
 
+def count_of(array: str, field: str, value: int) -> Column:
+    """How many structs of an array have a value in a field."""
+    return F.size(F.filter(array, lambda x: x[field] == value)).cast("long")
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
