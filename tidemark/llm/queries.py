@@ -9,6 +9,7 @@ _NAMES = {
     "op2_token_files": "token_files",
     "op4_private_data": "private_data",
     "op5_packing": "packing",
+    "op6_decontamination": "decontamination",
     "op7_secrets": "secrets",
     "op8_quality_rules": "quality",
     "op10_length_totals": "length_totals",
