@@ -12,6 +12,7 @@ _NAMES = {
     "op6_decontamination": "decontamination",
     "op7_secrets": "secrets",
     "op8_quality_rules": "quality",
+    "op9_repeats": "repeats",
     "op10_length_totals": "length_totals",
 }
 
