@@ -7,6 +7,7 @@ from importlib import import_module
 _NAMES = {
     "op1_near_dedup": "near_dedup",
     "op2_token_files": "token_files",
+    "op3_lm_scores": "lm_scores",
     "op4_private_data": "private_data",
     "op5_packing": "packing",
     "op6_decontamination": "decontamination",
