@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-SERIES = Window.partitionBy("symbol", "tf").orderBy("ts")
 _REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
 
+def series() -> WindowSpec:
+    return Window.partitionBy("symbol", "tf").orderBy("ts")
+
+
 def register(name: str, fn: Callable[..., DataFrame]) -> None:
     """Adds an indicator: a function from candles (and settings) to rows of symbol, tf, ts and value."""
     _REGISTRY[name] = fn
@@ -23,7 +26,7 @@ def compute(name: str, candles: DataFrame, **settings) -> DataFrame:
 
 def true_range(candles: DataFrame) -> DataFrame:
     """candles with tr; a first bar has its own range, as greatest() passes over missing values."""
-    before = F.lag("close").over(SERIES)
+    before = F.lag("close").over(series())
     return candles.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
@@ -33,7 +36,7 @@ def directional_movement(candles: DataFrame) -> DataFrame:
     The fall counts by its size whichever way the low went, and is compared with the rise that was kept: equal moves
     leave only the fall. First bars have 0 for both.
     """
-    up, down = F.col("high") - F.lag("high").over(SERIES), F.abs(F.col("low") - F.lag("low").over(SERIES))
+    up, down = F.col("high") - F.lag("high").over(series()), F.abs(F.col("low") - F.lag("low").over(series()))
     moved = candles.withColumns({"_up": up, "_down": down})
     plus = F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)
     moved = moved.withColumn("plus_dm", plus)
@@ -43,7 +46,7 @@ def directional_movement(candles: DataFrame) -> DataFrame:
 
 def full_mean(value: Column | str, n: int) -> Column:
     """Mean of the last n rows, null until there are n values."""
-    rows = SERIES.rowsBetween(1 - n, 0)
+    rows = series().rowsBetween(1 - n, 0)
     return F.when(F.count(value).over(rows) == n, F.avg(value).over(rows))
 
 
@@ -61,22 +64,22 @@ def adx(candles: DataFrame, di_length: int = 14, adx_smoothing: int = 14) -> Dat
     return rows.withColumn("value", full_mean("dx", adx_smoothing)).withColumn("ready", ready).select("symbol", "tf", "ts", "plus_di", "minus_di", "dx", "value", "ready")
 
 
-def last_values(series: DataFrame, k: int = 3) -> DataFrame:
+def last_values(rows: DataFrame, k: int = 3) -> DataFrame:
     """symbol, tf, values: the last k non-null values in order of time, nulls before them if there are fewer.
 
     Kept as the greatest k by time, not as the whole series: only rows whose rank from the end is at most k are gathered.
     """
     back = Window.partitionBy("symbol", "tf").orderBy(F.desc("ts"))
-    some = series.where("ready and value is not null").withColumn("_rank", F.row_number().over(back)).where(F.col("_rank") <= k)
+    some = rows.where("ready and value is not null").withColumn("_rank", F.row_number().over(back)).where(F.col("_rank") <= k)
     got = some.groupBy("symbol", "tf").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("_got"))
-    keys = series.select("symbol", "tf").distinct().join(got, ["symbol", "tf"], "left")
+    keys = rows.select("symbol", "tf").distinct().join(got, ["symbol", "tf"], "left")
     padded = F.concat(F.array_repeat(F.lit(None).cast("double"), k), F.coalesce("_got", F.array().cast("array<double>")))
     return keys.select("symbol", "tf", F.slice(padded, -k, k).alias("values"))
 
 
-def latest_value(series: DataFrame) -> DataFrame:
+def latest_value(rows: DataFrame) -> DataFrame:
     """symbol, tf, ts, value, ready: each series' newest row."""
-    return series.groupBy("symbol", "tf").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"), F.max_by("ready", "ts").alias("ready"))
+    return rows.groupBy("symbol", "tf").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"), F.max_by("ready", "ts").alias("ready"))
 
 
 register("adx", adx)
