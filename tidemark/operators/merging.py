@@ -20,8 +20,14 @@ def ranked(tables: list[DataFrame], keep_source: bool = False) -> DataFrame:
     values, so that results do not depend on the partitioning.
     """
     parts = [t.where("ts is not null").select(*KEY, F.lit(k).alias("source_tier"), *VALUES) for k, t in enumerate(tables)]
-    rows = reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.min(F.struct("source_tier", *VALUES)).alias("_best"))
-    return rows.select(*KEY, *[f"_best.{v}" for v in VALUES], *(["_best.source_tier"] if keep_source else []))
+    rows = best(reduce(DataFrame.unionByName, parts))
+    return rows if keep_source else rows.drop("source_tier")
+
+
+def best(rows: DataFrame) -> DataFrame:
+    """One candle per key of rows with source_tier: that of the least tier."""
+    found = rows.groupBy(*KEY).agg(F.min(F.struct("source_tier", *VALUES)).alias("_best"))
+    return found.select(*KEY, *[f"_best.{v}" for v in VALUES], "_best.source_tier")
 
 
 def existing_wins(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -38,8 +38,7 @@ def fill(wanted: DataFrame, local: DataFrame, ticks: DataFrame, history: DataFra
     first = merging.ranked([local, built, found], keep_source=True)
     minutes = first.where("tf = '1m'").drop("source_tier")
     rolled = merging.only_wanted(gaps.rolled_up(minutes, [t for t in ordered if t != "1m"]), open_gaps) if "1m" in ordered else local.where(F.lit(False))
-    tiers = [first.where(F.col("source_tier") == k).drop("source_tier") for k in range(3)]
-    done = merging.ranked([*tiers, rolled], keep_source=True)
+    done = merging.best(first.unionByName(rolled.withColumn("source_tier", F.lit(3))))
     return Filled(done, gaps.missing(wanted, done))
 
 
