@@ -20,10 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir; only where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
