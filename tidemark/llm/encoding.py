@@ -9,14 +9,12 @@ the library as they are. Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
-import re
+from array import array
 
 import numpy as np
 
-#: Cuts remembered by a worker before it starts anew; about 200 bytes each.
-REMEMBERED = 600_000
-#: Any white space, or a control character that some definitions count as such, before a blank.
-_ODD = re.compile(r"[\s\x00-\x20\x7f-\xa0 ᠎ -‏    ⁠　﻿] ")
+#: Cuts remembered by a worker at most, the longest unused ones going first; about 200 bytes each.
+REMEMBERED = 1_500_000
 
 
 def default_path() -> str:
@@ -25,6 +23,23 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Cuts(dict):
+    """Ids by cut. When it is half full, what it holds grows old and is dropped at the next turn unless it is used."""
+
+    def __init__(self, most: int):
+        self.half, self.old = most // 2, {}
+
+    def __missing__(self, cut: str) -> bytes:
+        ids = self.old[cut]
+        self[cut] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """ids(text) -> bytes of little-endian unsigned 32-bit ids, without an end id."""
 
@@ -33,51 +48,56 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.remembered = remembered
-        self.cuts: dict[str, bytes] = {}
-        self._byte_level = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
-        self._alphabet = _byte_alphabet() if self._byte_level else None
+        self.cuts, self.marks = _Cuts(remembered), {}
+        self.in_cuts = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
+        self.alphabet = _byte_alphabet()
+        self.split = _split_pattern()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, cuts: set[str]) -> None:
-        """Encodes cuts that are new. Most are one split, which the library's model merges directly."""
-        known, alphabet, merge = self.cuts, self._alphabet, self.library.model.tokenize
-        if len(known) + len(cuts) > self.remembered:
-            known.clear()
-        rest = []
-        for cut in cuts:
-            if cut in known:
-                continue
-            if _ONE_SPLIT.fullmatch(cut):
-                known[cut] = np.array([t.id for t in merge(cut.encode().decode("latin-1").translate(alphabet))], dtype="<u4").tobytes()
+    def _merged(self, split: str) -> bytes:
+        letters = split.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join([self._merged(s) for s in self.split.findall(text)])
+
+    def _learn(self, new: set[str]) -> None:
+        """Remembers cuts, each with the blank before it. Most are a word, or a word and a mark: the model merges their bytes directly."""
+        cuts, marks = self.cuts, self.marks
+        for cut in new:
+            if cut.isalpha():
+                cuts[cut] = self._merged(" " + cut)
+            elif cut[-1] in ".,;:!?" and cut[:-1].isalpha():
+                word, mark = cut[:-1], cut[-1]
+                try:
+                    ids = cuts[word]
+                except KeyError:
+                    ids = cuts[word] = self._merged(" " + word)
+                if mark not in marks:
+                    marks[mark] = self._merged(mark)
+                cuts[cut] = ids + marks[mark]
             else:
-                rest.append(cut)
-        for cut in rest:
-            parts = [p.encode().decode("latin-1").translate(alphabet) for p in _SPLIT.findall(cut)]
-            known[cut] = np.array([t.id for p in parts for t in merge(p)], dtype="<u4").tobytes()
+                cuts[cut] = self._cut(" " + cut)
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self._byte_level or _ODD.search(text):
+        first, *rest = text.split(" ")
+        if not rest or not self.in_cuts or first[-1:].isspace():
             return self.whole(text)
-        first, *others = text.split(" ")
-        cuts = [" " + c for c in others]
-        if first:
-            cuts.insert(0, first)
-        known = self.cuts
+        last, cuts = rest.pop(), self.cuts
         try:
-            return b"".join([known[c] for c in cuts])
+            body = b"".join(map(cuts.__getitem__, rest))
         except KeyError:
-            new = {c for c in cuts if c not in known}
-            if len(new) > self.remembered // 4:
+            new = {c for c in rest if c not in cuts and c not in cuts.old}
+            if any(not c or c[-1].isspace() for c in new):  # white space before a blank
                 return self.whole(text)
             self._learn(new)
-            if len(known) <= len(new):  # it was emptied for the new ones
-                self._learn(set(cuts))
-            return b"".join([known[c] for c in cuts])
+            body = b"".join(map(cuts.__getitem__, rest))
+            cuts.turn()
+        return self._cut(first) + body + self._cut(" " + last)
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -87,15 +107,13 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-def _patterns() -> tuple:
+def _split_pattern():
     import regex
 
     #: Fixed value: the public split pattern of the byte-level vocabulary.
-    split = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return regex.compile(split), re.compile(r" ?[A-Za-z]+")
+    return regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 
-_SPLIT, _ONE_SPLIT = _patterns()
 _encoders: dict[str, Encoder] = {}
 
 
