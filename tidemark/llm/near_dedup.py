@@ -86,7 +86,7 @@ def _sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (a 128-bit key of the set) and bands; bands are null for empty sets."""
-    shared.small_batches(docs.sparkSession, 1000)
+    shared.small_batches(docs.sparkSession, 500)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, bounds = _sets(shared.texts_of(batch), size)
@@ -158,8 +158,9 @@ def residual_pairs(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -
     def count(batches):
         cells = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            values, _ = _sets(shared.texts_of(batch), size)
-            cells += np.bincount((values % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            for piece in shared.sliced(batch):
+                values, _ = _sets(shared.texts_of(piece), size)
+                cells += np.bincount((values % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         hit = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(cells[hit])], ["cell", "n"])
 

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +34,32 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are passed over."""
+#: Bytes of text that a function of arrow_rows() gets at once, but for a longer single text.
+SLICE_BYTES = 4 << 20
+_TEXTS = ("text", "text_a", "text_b", "data")
+
+
+def sliced(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of bounded text, so that a task's memory does not follow the length of its texts."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for name in _TEXTS:
+        if name in batch.schema.names:
+            sizes += pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + (most or SLICE_BYTES), side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with a function of a few rows of bounded text; empty results are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for piece in sliced(batch):
+                out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
 
