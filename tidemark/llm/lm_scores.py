@@ -8,6 +8,7 @@ and add the logarithms per document. However frequent an n-gram, it comes once f
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,32 @@ ORDER, BACKOFF = 2, 0.4
 #: n-grams of two words or more that occur more rarely in the whole corpus are not in the model.
 LEAST = 2
 #: Text bytes of a block, and of the blocks that feed one hash partition.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 24 << 20
-BLOCKS = "block long, n_bytes long, n_words long, doc_ids array<long>, texts array<binary>"
+BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+BLOCKS = "block long, n_bytes long, n_words long, doc_ids array<long>, packed binary"
 SCORES = "doc_id long, n_words long, n_backoffs long, score double, mean_score double"
 
 
+def _packed_texts(texts: list[bytes]) -> bytes:
+    """Texts after their lengths, compressed, as a block crosses the network once more."""
+    return zlib.compress(np.array([len(texts), *map(len, texts)], "<i8").tobytes() + b"".join(texts), 1)
+
+
+def _unpacked_texts(packed: bytes) -> list[str]:
+    data = zlib.decompress(packed)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i8", n, 8))])
+    return [data[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte place by byte place: the high places of small ones are zeros that compress to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of documents, a row each, in the shared folder. A longer document is a block of its own."""
     shared.small_batches(docs.sparkSession)
@@ -37,8 +59,8 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         def block(ids: list, texts: list) -> pa.RecordBatch:
             hashes, _ = words.words(texts)
             raw = [t.encode() for t in texts]
-            columns = [[number], [sum(map(len, raw))], [len(hashes)], [ids], [raw]]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            columns = [[number], [sum(map(len, raw))], [len(hashes)], [ids], [_packed_texts(raw)]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
 
         ids, texts, size = [], [], 0
@@ -56,9 +78,9 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return shared.stored(shared.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, BLOCKS))
 
 
-def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Words' hashes and bounds, and for each n from 1 on: the n-gram that ends at each word, and whether the text has it."""
-    hashes, bounds = words.words([t.decode() for t in texts])
+    hashes, bounds = words.words(texts)
     place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
     keys, there = [], []
     value = np.zeros(len(hashes), np.uint64)
@@ -83,29 +105,27 @@ def counted(blocks: DataFrame, parts: int, order: int) -> DataFrame:
 
     def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts").to_pylist(), strict=True):
-            _, _, keys, there = grams(texts, order)
+        for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            _, _, keys, there = grams(_unpacked_texts(packed), order)
             value, many, bounds = _distinct(keys, there, parts)
             for p in np.flatnonzero(np.diff(bounds)):
                 steps = np.diff(value[bounds[p] : bounds[p + 1]], prepend=np.uint64(0))  # sorted: small steps pack well
-                planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-                rows.append((int(p), block, planes.tobytes(), many[bounds[p] : bounds[p + 1]].tobytes()))
+                rows.append((int(p), block, _planes(steps), zlib.compress(_planes(many[bounds[p] : bounds[p + 1]]), 1)))
         part, block, keys, many = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(keys, pa.binary()), pa.array(many, pa.binary())], ["part", "block", "keys", "many"])
 
     def add(table: pa.Table) -> pa.Table:
         keys, many = [], []
         for k, m in zip(table.column("keys").to_pylist(), table.column("many").to_pylist(), strict=True):
-            planes = np.frombuffer(k, np.uint8).reshape(8, -1)
-            keys.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64))
-            many.append(np.frombuffer(m, "<u4"))
+            keys.append(np.cumsum(_from_planes(k), dtype=np.uint64))
+            many.append(_from_planes(zlib.decompress(m)))
         sizes = [len(k) for k in keys]
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(where, np.concatenate(many))[where].astype("<u8")
-        answers = [a.tobytes() for a in np.split(sums, np.cumsum(sizes)[:-1])]
+        answers = [zlib.compress(_planes(a), 1) for a in np.split(sums, np.cumsum(sizes)[:-1])]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array(answers, pa.binary())})
 
-    asked = shared.arrow_rows(blocks.select("block", "texts"), ask, "part long, block long, keys binary, many binary")
+    asked = shared.arrow_rows(blocks.select("block", "packed"), ask, "part long, block long, keys binary, many binary")
     return asked.groupBy("part").applyInArrow(add, "block long, part long, counts binary")
 
 
@@ -123,11 +143,11 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(SCORES.split(", "), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        ids, texts = left.column("doc_ids").to_pylist()[0], left.column("texts").to_pylist()[0]
+        ids, texts = left.column("doc_ids").to_pylist()[0], _unpacked_texts(left.column("packed").to_pylist()[0])
         hashes, bounds, keys, there = grams(texts, order)
         value, _, _ = _distinct(keys, there, parts)
         answers = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        counts = np.frombuffer(b"".join(answers[p] for p in sorted(answers)), "<u8").astype(float)
+        counts = np.concatenate([np.zeros(0), *[_from_planes(zlib.decompress(answers[p])) for p in sorted(answers)]])
         by_key = np.argsort(value)
         value, counts = value[by_key], counts[by_key]
         look = lambda k: counts[np.searchsorted(value, k)]
@@ -146,7 +166,7 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_backoffs": pa.array(stepped, pa.int64()), "score": pa.array(whole, pa.float64()), "mean_score": mean})
 
     answers = counted(blocks, parts, order)
-    return blocks.select("block", "doc_ids", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
+    return blocks.select("block", "doc_ids", "packed").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

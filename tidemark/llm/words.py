@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Characters that are hashed at once, but for a longer single text.
+PIECE = 1 << 19
 _RANDOM = np.random.default_rng(20240229)
 _LETTER = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LETTER[65:91] = _LETTER[97:123]
@@ -59,6 +61,8 @@ def words(texts: list[str], strip: bytes = b"") -> tuple[np.ndarray, np.ndarray]
 
     strip: bytes that are left out of words; a word of nothing else stays as an empty one.
     """
+    if len(texts) > 1 and sum(map(len, texts)) > PIECE:
+        return _in_pieces(texts, strip)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     buffer = np.frombuffer(b" ".join(raw), dtype=np.uint8)  # the joining blank ends a text's last word
     lengths = np.array([len(r) for r in raw], dtype=np.int64)
@@ -84,6 +88,20 @@ def words(texts: list[str], strip: bytes = b"") -> tuple[np.ndarray, np.ndarray]
     return hashes, np.concatenate([np.searchsorted(start, begins), [len(start)]])
 
 
+def _in_pieces(texts: list[str], strip: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """words() of some texts at a time: its arrays have many times a text's size."""
+    parts, some, size = [], [], 0
+    for t in texts:
+        if some and size + len(t) > PIECE:
+            parts.append(words(some, strip))
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    parts.append(words(some, strip))
+    counts = np.concatenate([np.diff(b) for _, b in parts])
+    return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(counts)])
+
+
 def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, sorted within a text, and each text's bounds.
 
