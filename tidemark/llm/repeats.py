@@ -4,8 +4,10 @@ A rolling hash of each text's bytes sets triggers: positions whose k-byte string
 some 400-byte string (the leftmost of equals). Each 400-byte string belongs to exactly one trigger, and equal strings
 have theirs at the same place, so repeats can be found trigger by trigger. The text between the outermost strings of
 a trigger is its phrase: the dictionary has each distinct phrase once, with the number of its occurrences, and the
-parse is the list of phrases by document. Phrases that occur twice repeat as a whole. Phrases that differ but stand at
-equal triggers are put in order next to each other, and equal 400-byte strings inside them are found from that order.
+parse is the list of phrases by document. Phrases that occur twice repeat as a whole. For phrases that differ but stand
+at equal triggers, dealt out by trigger, the suffix array of the dictionary is made, as far as 400 bytes: strings that
+share a place in it are equal. The parse then carries a phrase's result to each of its occurrences, so corpus order is
+the order of triggers and, within, of the dictionary; text that repeats is sorted once, not once per occurrence.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ _BASE = 0xD1342543DE82EF95 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _UP, _DOWN = words._Powers(_BASE), words._Powers(_INVERSE)
-#: Phrases of one trigger that a task compares at most: about 30 MB.
-TASK_PHRASES = 50_000
+#: Phrases of one trigger that a task compares at most: about 5 MB, and some hundred for its suffix array.
+TASK_PHRASES = 8_000
 PARSE = "doc long, trigger long, first int, count int, many long, phrase_a long, phrase_b long"
 
 
@@ -113,6 +115,25 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
 
 
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Places of all strings of length bytes in their order, equal ones sharing a place: a suffix array's ranks.
+
+    By prefix doubling from eight bytes on: strings of twice the length are ranked by the ranks of their halves, so no
+    hash is involved.
+    """
+    span = min(8, length)
+    n = len(data) - span + 1
+    heads = np.zeros(max(n, 0), np.uint64)
+    for k in range(span if n > 0 else 0):
+        heads = (heads << np.uint64(8)) | data[k : k + n]
+    ranks = np.unique(heads, return_inverse=True)[1].astype(np.int64)
+    while span < length:
+        step = min(span, length - span)  # the last halves overlap
+        pairs = ranks[: len(ranks) - step] * np.int64(len(data) + 256) + ranks[step:]
+        ranks, span = np.unique(pairs, return_inverse=True)[1], span + step
+    return ranks
+
+
 def _compare(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
     """Of phrases, all those of their triggers, the stretches of strings that two of them have, where a phrase occurs once."""
     data = b"".join(batch.column("bytes").to_pylist())
@@ -121,9 +142,8 @@ def _compare(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(count)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[owner]
-    keys = Rolling(np.frombuffer(data, dtype=np.uint8)).of(start, length)
-    _, where, many = np.unique(keys, return_inverse=True, return_counts=True)
-    hit = (many[where] > 1) & (batch.column("n").to_numpy() == 1)[owner]
+    rank = suffix_ranks(np.frombuffer(data, dtype=np.uint8), length)[start]
+    hit = (np.bincount(rank)[rank] > 1) & (batch.column("n").to_numpy() == 1)[owner]
     if not hit.any():
         return None
     start, owner = start[hit], owner[hit]
@@ -199,7 +219,7 @@ def repeated(rows: DataFrame, length: int = LENGTH, task_phrases: int = TASK_PHR
     fields = "trigger long, doc long, first int, count int, n long, bytes binary"
     cut = shared.arrow_rows(rows.join(some, "doc"), _bytes, fields)
     ordered = cut.repartition("trigger").sortWithinPartitions("trigger")
-    parts = ordered.mapInArrow(lambda batches: _by_trigger(batches, length, 4096), "doc long, first int, count int")
+    parts = ordered.mapInArrow(lambda batches: _by_trigger(batches, length, 2048), "doc long, first int, count int")
     out = own.union(whole).union(parts)
     if not triggers.where(F.col("phrases") > task_phrases).isEmpty():
         strings = shared.arrow_rows(shared.arrow_rows(rows.join(lots, "doc"), _bytes, fields), lambda b: _exploded(b, length), "key long, doc long, first int, n long")
