@@ -39,7 +39,7 @@ STRONG = [
 _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)"""
 WEAK = [
     Kind("id", r"(?<![A-Za-z0-9])((?i:access_?key_?id|key_?id|client_?id|user_?name|user|login|account))" + _VALUE, 2, 4, "(contains(_text, ':') or contains(_text, '='))", "id", True),
-    Kind("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,200}+={0,2}", 0, 20, "_text rlike '[A-Za-z0-9+/_-]{20}'", "secret", True),
+    Kind("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}", 0, 20, "_text rlike '[A-Za-z0-9+/_-]{20}'", "secret", True),
     Kind("pass", r"(?<![A-Za-z0-9])((?i:pwd|pass|passphrase|credential|private_?key|auth|bearer))" + _VALUE, 2, 6, "(contains(_text, ':') or contains(_text, '='))", "secret", True),
     Kind("endpoint", r"(?<![A-Za-z0-9])((?i:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3))://[^\x20\x09-\x0D\"'<>]+", 0, 8, "contains(_text, '://')", "endpoint", True),
 ]
