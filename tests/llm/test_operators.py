@@ -277,6 +277,11 @@ def test_private_data(spark):
     assert private_data.found(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text", ["john [AT] mail [DOT] com", "john(AT)mail(DOT)com", "john at mail Dot com", "john (At) mail (dOT) com", "john at mail dot com"])
+def test_spelled_addresses_in_any_case(text):
+    assert [c[:3] for c in private_data.candidates(f"so {text}, ok", [], False)] == [(3, 5, 3 + len(text))]
+
+
 def test_em_finds_the_unreliable_labeler():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.5

@@ -106,8 +106,8 @@ def votes_of(features: np.ndarray) -> np.ndarray:
 def candidates(text: str, base: list[tuple[int, int, int]], digits: bool) -> list[tuple[int, int, int, int]]:
     """Looser spans that touch no base span: (start, kind, end, features)."""
     found = [(m, 4) for m in _NUMBER.finditer(text)] if digits else []
-    lowered = " dot " in text or "dot]" in text or "dot)" in text or " DOT " in text
-    found += [(m, 5) for m in _SPELLED.finditer(text)] if lowered else []
+    lowered = text.lower()
+    found += [(m, 5) for m in _SPELLED.finditer(text)] if " dot " in lowered or "[dot]" in lowered or "(dot)" in lowered else []
     found += [(m, 6) for m in _PERSON.finditer(text)]
     out, at = [], 0
     for m, kind in sorted(found, key=lambda x: x[0].start()):
