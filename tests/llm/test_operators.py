@@ -406,6 +406,43 @@ def test_every_passage_above_the_threshold_is_scored():
             assert abs(best - got.get((d, i), 0.0)) < 1e-9
 
 
+def _edited_recall(seed: int, share: float, answer_words: tuple) -> float:
+    """Of copies with a share of their words replaced, between other words, those that are found."""
+    rnd = random.Random(seed)
+    vocabulary = [f"v{k}" for k in range(3000)] + ["the", "of", "and"] * 300
+    items = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(14, 50))) + ". " + " ".join(f"a{rnd.randrange(3000)}" for _ in range(rnd.choice(answer_words))) + "." for _ in range(300)]
+    other = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    texts = [" ".join([*other(30), *[f"new{rnd.randrange(999)}" if rnd.random() < share else w for w in t.split()], *other(30)]) for t in items]
+    found = {(d, i) for d, i, *_ in decontamination.search(decontamination.index_of(list(range(300)), items), texts)}
+    return sum((k, k) in found for k in range(300)) / 300
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 0.99), (0.1, 0.98), (0.15, 0.95)])
+@pytest.mark.parametrize("answer_words", [(1, 2, 3), (1,), (5, 8, 12)])
+def test_edited_copies_are_found(share, least, answer_words):
+    assert _edited_recall(12, share, answer_words) >= least
+
+
+def test_scattered_or_reordered_words_are_no_leak():
+    index, inside = decontamination.index_of([1], [ITEM]), ITEM.split()
+    apart = " ".join(f"{w} x y z u v" for w in inside[:6]) + " " + " ".join(inside[6:11])
+    assert decontamination.search(index, [" ".join(reversed(inside)), apart, ITEM.split("?")[0]]) == []
+    assert [d for d, *_ in decontamination.search(index, ["a b c " + ITEM + " d", ITEM.replace("? It", "? Answer now : it")])] == [0, 1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.lists(st.integers(0, 3), max_size=90))
+def test_alignments_are_the_best(part, text):
+    row = [0] * (len(text) + 1)
+    for k, x in enumerate(part, 1):
+        new = [k]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    share, end = decontamination._aligned(np.array(part, np.uint64), text)
+    assert share == 1 - min(row) / len(part) and row[end] == min(row)
+
+
 # ---- repeated strings
 
 

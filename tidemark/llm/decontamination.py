@@ -4,7 +4,8 @@ Every passage of every document is a query. Scores are divided by what an item s
 serves all. The index holds, per term, its weight in each item and its largest weight in each block of items. The terms
 that most items share cannot reach the threshold together; the others' block maxima bound a passage's score for a
 block, all passages of a batch at once, and only passages and blocks that may reach the threshold are scored. What
-scores enough is verified: both the question's and the answer's word runs must be in the passage.
+scores enough is verified: question and answer are aligned with the passage, so that a changed, missing or added word
+costs one word, wherever it is, and words out of order or scattered over the passage count for nothing.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import shared, words
 
 THRESHOLD = 0.5
-#: Shares of the question's and of the answer's word runs that a passage must have.
+#: Shares of the question's and of the answer's words that a passage must have, in order and close together.
 QUESTION, ANSWER = 0.5, 0.5
-#: A passage with this share of all the item's word runs is a leak even if the answer, maybe a word or two, was changed.
+#: A passage with this share of all the item's words is a leak even if the answer, maybe a word or two, was changed.
 WHOLE = 0.8
-RUN = 3
+#: An answer of so few words may be lost to one or two edits: this share of all the item's words is enough then.
+SHORT, SHORT_WHOLE = 3, 0.7
 #: Items of fewer words are no evidence of a leak and are not searched.
 LEAST_WORDS = 5
 BLOCK = 8
@@ -55,7 +57,7 @@ class Index:
     blocks: np.ndarray
     maxima: np.ndarray
     shared_most: np.ndarray  # by block: what the shared terms can add
-    questions: list  # hashes of word runs, by item
+    questions: list  # hashes of words in order, by item
     answers: list
     wholes: list
 
@@ -97,15 +99,50 @@ def index_of(ids: list[int], texts: list[str], threshold: float = THRESHOLD) ->
         cut = len(_hashed([sentences[0]])[0]) if sentences[0] else 0
         if cut < 2 or len(own_words) - cut < 1:
             cut = max(1, 2 * len(own_words) // 3)
-        questions.append(_runs(own_words[:cut]))
-        answers.append(_runs(own_words[cut:]))
-        wholes.append(_runs(own_words))
+        own_words = words.mix(own_words)
+        questions.append(own_words[:cut])
+        answers.append(own_words[cut:])
+        wholes.append(own_words)
     return Index(np.array(ids, np.int64)[good], int(lengths.max()) if len(good) else 0, terms, offsets, item, weights, essential, np.searchsorted(keys // n_blocks, np.arange(len(terms) + 1)), keys % n_blocks, maxima, shared_most, questions, answers, wholes)
 
 
-def _runs(hashes: np.ndarray) -> np.ndarray:
-    """Distinct runs of words; of fewer words than a run has, single words."""
-    return np.unique(words.gathered(hashes, RUN) if len(hashes) >= RUN else words.mix(hashes))
+def _aligned(part: np.ndarray, there: list[int]) -> tuple[float, int]:
+    """The share of part's words left after the fewest edits that turn part into some stretch of there, and that stretch's end.
+
+    Edits change, drop or add a word. Myers' algorithm: a column of the table of distances is two numbers of a bit a word.
+    """
+    size, marks = len(part), {}
+    for k, word in enumerate(part.tolist()):
+        marks[word] = marks.get(word, 0) | 1 << k
+    full, last = (1 << size) - 1, 1 << (size - 1)
+    up, down, edits, least, end = full, 0, size, size, 0
+    for at, word in enumerate(there):
+        same = marks.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | full & ~(across | up), up & across
+        edits += bool(more & last) - bool(less & last)
+        more, less, same = more << 1 & full, less << 1 & full, same | down
+        up, down = less | full & ~(same | more), more & same
+        if edits < least:
+            least, end = edits, at + 1
+    return 1 - least / size, end
+
+
+def _verified(index: Index, item: int, there: np.ndarray) -> tuple[float, float] | None:
+    """Overlaps of an item's question and answer with a passage's words, None if they are no evidence of a leak."""
+    question, answer, all_words = index.questions[item], index.answers[item], index.wholes[item]
+    most = [float(np.isin(part, there).mean()) for part in (question, answer, all_words)]  # no alignment has more
+    if not _leaked(*most, len(answer)):
+        return None
+    text, size = there.tolist(), len(all_words)
+    whole, end = _aligned(all_words, text)
+    near = text[max(0, end - 2 * size) : end + size]
+    (q, _), (a, _) = _aligned(question, near), _aligned(answer, near)
+    return (q, a) if _leaked(q, a, whole, len(answer)) else None
+
+
+def _leaked(question: float, answer: float, whole: float, answer_words: int) -> bool:
+    return question >= QUESTION and answer >= ANSWER or whole >= (SHORT_WHOLE if answer_words <= SHORT else WHOLE)
 
 
 def _expand(offsets: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +191,11 @@ def search(index: Index, texts: list[str], threshold: float = THRESHOLD) -> list
         hits = np.flatnonzero(scores >= threshold - 1e-9)
         if not len(hits):
             continue
-        there = np.concatenate([words.gathered(here, RUN), words.mix(here)])
+        there = words.mix(here)
         for i in hits:
-            q, a = (float(np.isin(part[i], there).mean()) for part in (index.questions, index.answers))
-            whole = float(np.isin(index.wholes[i], there).mean())
-            if (q >= QUESTION and a >= ANSWER or whole >= WHOLE) and scores[i] > out.get((d, i), (0.0,))[0]:
-                out[d, i] = (float(scores[i]), q, a, int(start - bounds[d]))
+            overlaps = _verified(index, i, there) if scores[i] > out.get((d, i), (0.0,))[0] else None
+            if overlaps:
+                out[d, i] = (float(scores[i]), *overlaps, int(start - bounds[d]))
     return [(d, int(index.ids[i]), *rest) for (d, i), rest in out.items()]
 
 
