@@ -252,6 +252,38 @@ def test_scores(spark, block_bytes):
     assert lm_scores.scores(table(spark, [])).count() == 0
 
 
+def _plain_scores(docs: list, order: int, least: int) -> list[tuple]:
+    texts = [brute.words(t) for t in docs]
+    seen = Counter(tuple(w[i : i + n]) for w in texts for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total, out = sum(map(len, texts)), []
+    for w in texts:
+        score, steps = 0.0, 0
+        for i in range(len(w)):
+            n = min(order, i + 1)
+            while n > 1 and seen[tuple(w[i - n + 1 : i + 1])] < least:
+                n, steps, score = n - 1, steps + 1, score + np.log(0.4)
+            gram = tuple(w[i - n + 1 : i + 1])
+            score += np.log(seen[gram] / (seen[gram[:-1]] if n > 1 else total))
+        out.append((len(w), steps, score))
+    return out
+
+
+@pytest.mark.parametrize(("order", "least"), [(2, 2), (3, 1), (3, 2), (4, 2)])
+def test_scores_of_any_order(spark, order, least):
+    rows = [*near_copies(9, 60), *ODD, (7, "a b a b"), (7, "a b a b"), (None, "a b")]
+    got = lm_scores.scores(table(spark, rows), order=order, least=least, block_bytes=2000, part_bytes=3000).collect()
+    want = Counter((d, n, steps, round(float(score), 6)) for (d, _), (n, steps, score) in zip(rows, _plain_scores([t for _, t in rows], order, least), strict=True))
+    assert Counter((r["doc_id"], r["n_words"], r["n_backoffs"], round(r["score"], 6)) for r in got) == want
+
+
+def test_the_registered_scores_look_back_two_words(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(["a b c d"] * 2 + ["x b c e"] * 2 + ["a b c e", "q b c d"])]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = lm_scores.op3_lm_scores(spark, str(tmp_path)).collect()
+    want = {d: (n, steps, round(float(score), 6)) for (d, _), (n, steps, score) in zip(rows, _plain_scores([t for _, t in rows], 3, 2), strict=True)}
+    assert {r["doc_id"]: (r["n_words"], r["n_backoffs"], round(r["score"], 6)) for r in got} == want
+
+
 # ---- personal data and secrets
 
 PRIVATE = ["mail a.b@c.de, x@y, a@b.c@d.e and a@b.c%x@d.e.f", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 12 3", "+1 (325) 555-8094 +49 30 1234 +(1) ++1 234567890", "é +12345678901é 1111222233334444", "phone: 325-555-8094", "", None]

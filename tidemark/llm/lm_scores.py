@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import shared, words
 
 ORDER, BACKOFF = 2, 0.4
+#: The order of the registered query.
+REGISTERED_ORDER = 3
 #: n-grams of two words or more that occur more rarely in the whole corpus are not in the model.
 LEAST = 2
 #: Text bytes of a block, and of the blocks that feed one hash partition.
@@ -170,4 +172,4 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(shared.read(spark, sf_dir, "documents"))
+    return scores(shared.read(spark, sf_dir, "documents"), order=REGISTERED_ORDER)
