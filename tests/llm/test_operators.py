@@ -314,6 +314,26 @@ def test_spelled_addresses_in_any_case(text):
     assert [c[:3] for c in private_data.candidates(f"so {text}, ok", [], False)] == [(3, 5, 3 + len(text))]
 
 
+def test_names_need_not_be_listed(spark):
+    texts = ["Seen by Dr. Ivan Petrov today.", "my name is Olga Smith, hello", "we met Ivan Petrov there", "in New York the Apache License is", "so Peter Miller said", "regards, Peter Miller"]
+    rows = list(enumerate(texts)) + [(100 + k, f"a view of Green Hills number {k}, and The Valley too") for k in range(60)]
+    got = private_data.found(table(spark, rows)).collect()
+    names = {r["doc_id"]: [dict(rows)[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in got}
+    assert {d: n for d, n in names.items() if n} == {0: ["Ivan Petrov"], 1: ["Olga Smith"], 4: ["Peter Miller"], 5: ["Peter Miller"]}
+
+
+def test_names_without_context_are_counted():
+    found = private_data.candidates("we met Ivan Petrov there, in New York", [], False)
+    assert private_data.votes_of(np.array([f for *_, f in found])).tolist() == [[1, 0, 0], [-1, 0, 0]]
+
+
+def test_one_labeler_alone_proves_nothing():
+    votes = np.array([[1, 0, 0], [-1, 0, 0], [1, 0, 1]])
+    for counts in ([5000, 0, 0], [5000, 8000, 0], [9000, 4000, 300], [1, 0, 3]):
+        _, post = private_data.reliabilities(votes, np.array(counts))
+        assert post[0] < private_data.CERTAIN < post[2]
+
+
 def test_em_finds_the_unreliable_labeler():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.5

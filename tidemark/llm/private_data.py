@@ -40,6 +40,12 @@ _CONTEXT = {
     6: re.compile(r"(?i)(?:name is|named|mr\.?|mrs\.?|ms\.?|dr\.?|signed|sincerely|regards|contact|patient|customer)[,:]?\s*$"),
 }
 _FIRST_NAMES = frozenset("James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Maria Anna Hans Peter Klaus Sabine Jean Pierre Marie Sophie Carlos Jose Juan Ana Luis Carmen Wei Li Mohammed Fatima".split())
+#: Capitalised words that are no names; the list of first names is short, so that it can only speak for one.
+_NO_NAMES = frozenset(
+    "The This That These Those There Then They We You He She It In On At Of For From To By With And Or But If When Where What Who Why How As Is Are Was Were Be Has Have Had Do Does Did Not No Yes All Any Some Our Your My His Her Its Their "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December "
+    "New North South East West Street Road Avenue City University College School Company Inc Ltd License Public General Software Foundation Service Center Department United States Please Dear Thank Thanks Contact Customer Patient Signed Sincerely Regards".split()
+)
 _DOMAIN_ENDS = frozenset("com org net edu gov io de fr es uk info eu".split())
 
 
@@ -125,9 +131,8 @@ def candidates(text: str, base: list[tuple[int, int, int]], digits: bool) -> lis
             end = re.split(r"[^A-Za-z0-9-]+", value)[-1].lower()
             shape, gazetteer, size = 2 if end.isalpha() and 2 <= len(end) <= 6 else 0, 2 if end in _DOMAIN_ENDS else 0, 0
         else:
-            if value.split(" ")[0] not in _FIRST_NAMES and context == 1:
-                continue  # two capitals alone are no candidate
-            shape, gazetteer, size = 1, 2 if value.split(" ")[0] in _FIRST_NAMES else 0, 0
+            names = value.split(" ")
+            shape, gazetteer, size = 0 if names[0] in _NO_NAMES or names[-1] in _NO_NAMES or names[0] == names[-1] else 2, 2 if names[0] in _FIRST_NAMES else 1, 0
         out.append((a, kind, b, _features(shape, gazetteer, context, kind, size)))
     return out
 
@@ -156,16 +161,27 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """EM for two classes: how often each labeler that votes is right, and each row's posterior. A prior keeps both stable."""
+    """EM for two classes: how often each labeler that votes is right, and each row's posterior. A prior keeps both stable.
+
+    That a labeler does not vote is evidence too: how often it votes is learned for each class. The share of the class
+    that counts is at most a half, so that votes of one labeler alone cannot prove each other.
+    """
     right, share = np.full(votes.shape[1], 0.8), 0.5
+    cast = votes != 0
+    often = np.full((2, votes.shape[1]), 0.5)  # of votes cast, by class
     post = np.full(len(votes), 0.5)
     for _ in range(rounds):
-        yes = np.log(share) + np.where(votes == 0, 0, np.where(votes > 0, np.log(right), np.log(1 - right))).sum(axis=1)
-        no = np.log(1 - share) + np.where(votes == 0, 0, np.where(votes > 0, np.log(1 - right), np.log(right))).sum(axis=1)
+        no, yes = np.log([[1 - share], [share]]) + np.stack([np.where(cast, np.log(o), np.log(1 - o)).sum(axis=1) for o in often])
+        yes = yes + np.where(cast, np.where(votes > 0, np.log(right), np.log(1 - right)), 0).sum(axis=1)
+        no = no + np.where(cast, np.where(votes > 0, np.log(1 - right), np.log(right)), 0).sum(axis=1)
         post = 1 / (1 + np.exp(no - yes))
-        agree = np.where(votes > 0, post[:, None], 1 - post[:, None]) * (votes != 0) * counts[:, None]
-        right = np.clip((agree.sum(axis=0) + 16) / (((votes != 0) * counts[:, None]).sum(axis=0) + 20), 0.55, 0.98)
-        share = np.clip(((post * counts).sum() + 5) / (counts.sum() + 10), 0.02, 0.98)
+        agree = np.where(votes > 0, post[:, None], 1 - post[:, None]) * cast * counts[:, None]
+        right = np.clip((agree.sum(axis=0) + 16) / ((cast * counts[:, None]).sum(axis=0) + 20), 0.55, 0.98)
+        # Both classes start from how often the labeler votes at all: where nothing tells them apart, silence says nothing.
+        rate = ((cast * counts[:, None]).sum(axis=0) + 1) / (counts.sum() + 2)
+        often = np.stack([((cast * (p * counts)[:, None]).sum(axis=0) + 20 * rate) / ((p * counts).sum() + 20) for p in (1 - post, post)])
+        often = np.clip(often, 0.01, 0.99)
+        share = np.clip(((post * counts).sum() + 5) / (counts.sum() + 10), 0.02, 0.5)
     return right, post
 
 
@@ -187,9 +203,11 @@ def accepted(voted: DataFrame) -> list[int]:
     if not rows:
         return []
     features, counts = (np.array([r[k] for r in rows]) for k in ("features", "count"))
-    votes = votes_of(features)
-    _, post = reliabilities(votes, counts)
-    sure = (classifier(features, post, counts) >= 0.5) & (post >= CERTAIN) & ((votes > 0).sum(axis=1) >= 2)
+    votes, kinds, post = votes_of(features), features // 108, np.zeros(len(features))
+    for kind in np.unique(kinds):  # a labeler may be good at one kind and bad at another
+        own = kinds == kind
+        _, post[own] = reliabilities(votes[own], counts[own])
+    sure = (classifier(features, post, counts) >= 0.5) & (post >= CERTAIN)
     return [int(f) for f in features[sure]]
 
 
