@@ -475,6 +475,26 @@ def test_edited_copies_are_found(share, least, answer_words):
     assert _edited_recall(12, share, answer_words) >= least
 
 
+def test_a_split_of_the_items_changes_nothing(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"v{k}" for k in range(150)] + ["the", "of"] * 30
+    say = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    texts = [say(rnd.randint(8, 60)) for _ in range(60)] + [say(700), "too short"]
+    items = spark.createDataFrame([*enumerate(texts), (5, None)], "item_id long, text string")
+    docs = table(spark, [(k, f"{say(40)} {' '.join(w for w in t.split() if rnd.random() < 0.85)} {say(90)}") for k, t in enumerate(texts)])
+    rows = [sorted(map(tuple, decontamination.leaks(docs, items, n).collect())) for n in (1 << 20, 3000, 300)]
+    assert len(rows[0]) > 40 and rows[1] == rows[0] and rows[2] == rows[0]
+    kept = [sorted(r["doc_id"] for r in decontamination.decontaminated(docs, items, n).collect()) for n in (1 << 20, 3000)]
+    assert kept[0] == kept[1] == sorted(set(range(len(texts))) - {r[0] for r in rows[0]})
+
+
+def test_a_long_item_does_not_widen_the_passages_of_others(spark):
+    items = spark.createDataFrame([(1, ITEM), (2, " ".join(f"w{k}" for k in range(900)))], "item_id long, text string")
+    assert [[(i.ids.tolist(), i.longest) for i in part] for part in decontamination.indexes(items)] == [[([1], 32), ([2], 1024)]]
+    got = decontamination.leaks(table(spark, [(1, "x y z " * 40 + ITEM)]), items).collect()
+    assert [(r["item_id"], 96 <= r["first_word"] <= 120) for r in got] == [(1, True)]
+
+
 def test_scattered_or_reordered_words_are_no_leak():
     index, inside = decontamination.index_of([1], [ITEM]), ITEM.split()
     apart = " ".join(f"{w} x y z u v" for w in inside[:6]) + " " + " ".join(inside[6:11])

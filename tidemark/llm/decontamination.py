@@ -26,10 +26,12 @@ QUESTION, ANSWER = 0.5, 0.5
 WHOLE = 0.8
 #: An answer of so few words may be lost to one or two edits: this share of all the item's words is enough then.
 SHORT, SHORT_WHOLE = 3, 0.7
+#: Passages of short items have a stride of so many words; those of longer items, of the next power of two.
+STRIDE = 32
 #: Items of fewer words are no evidence of a leak and are not searched.
 LEAST_WORDS = 5
 BLOCK = 8
-#: Text of items in one broadcast index; more items are searched index after index.
+#: Text of items in one broadcast; more items are searched one part after the other.
 INDEX_BYTES = 32 << 20
 K1, B = 1.2, 0.75
 _MARKS = b".,;:!?\"'()[]{}*_#`"
@@ -47,7 +49,7 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Index:
     ids: np.ndarray  # of the items
-    longest: int  # words of the longest item
+    longest: int  # words of the longest item, or a bound of them
     terms: np.ndarray  # sorted hashes
     offsets: np.ndarray  # of each term's postings
     items: np.ndarray  # of postings
@@ -62,8 +64,37 @@ class Index:
     wholes: list
 
 
-def index_of(ids: list[int], texts: list[str], threshold: float = THRESHOLD) -> Index:
-    """The index of items; an item's question is all but its last sentence, or two thirds of an only sentence."""
+@dataclass
+class Statistics:
+    """What scores need to know of all items, whichever index these are in."""
+
+    n_items: int
+    n_words: int
+    terms: np.ndarray  # sorted hashes
+    df: np.ndarray
+
+
+def statistics(texts: list[str]) -> Statistics:
+    hashes, bounds = _hashed(texts)
+    n = np.diff(bounds)
+    good, owner = n >= LEAST_WORDS, np.repeat(np.arange(len(texts)), n)
+    pairs = np.unique(np.stack([hashes[good[owner]], owner[good[owner]].astype(np.uint64)]), axis=1)
+    terms, df = np.unique(pairs[0], return_counts=True)
+    return Statistics(int(good.sum()), int(n[good].sum()), terms, df)
+
+
+def _added(a: Statistics, b: Statistics) -> Statistics:
+    terms, where = np.unique(np.concatenate([a.terms, b.terms]), return_inverse=True)
+    df = np.bincount(where, np.concatenate([a.df, b.df]), minlength=len(terms)).astype(np.int64)
+    return Statistics(a.n_items + b.n_items, a.n_words + b.n_words, terms, df)
+
+
+def index_of(ids: list[int], texts: list[str], threshold: float = THRESHOLD, known: Statistics | None = None, longest: int | None = None) -> Index:
+    """The index of items; an item's question is all but its last sentence, or two thirds of an only sentence.
+
+    known are the statistics of all items and longest a bound of the words of items, if there are items elsewhere.
+    """
+    known = known or statistics(texts)
     hashes, bounds = _hashed(texts)
     n = np.diff(bounds)
     good = np.flatnonzero(n >= LEAST_WORDS)
@@ -73,8 +104,9 @@ def index_of(ids: list[int], texts: list[str], threshold: float = THRESHOLD) ->
     term_hash, item = pairs[0], pairs[1].astype(np.int64)
     terms, term, df = np.unique(term_hash, return_inverse=True, return_counts=True)
     lengths = n[good]
-    norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1)) if len(good) else lengths
-    weights = np.log(1 + (len(good) - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + norm[item])
+    everywhere = known.df[np.searchsorted(known.terms, terms)]
+    norm = K1 * (1 - B + B * lengths / max(known.n_words / max(known.n_items, 1), 1))
+    weights = np.log(1 + (known.n_items - everywhere + 0.5) / (everywhere + 0.5))[term] * tf * (K1 + 1) / (tf + norm[item])
     own = np.bincount(item, weights, minlength=len(good))
     weights = weights / own[item]
     by_df, common = np.argsort(-df, kind="stable"), np.zeros(len(good))
@@ -103,7 +135,7 @@ def index_of(ids: list[int], texts: list[str], threshold: float = THRESHOLD) ->
         questions.append(own_words[:cut])
         answers.append(own_words[cut:])
         wholes.append(own_words)
-    return Index(np.array(ids, np.int64)[good], int(lengths.max()) if len(good) else 0, terms, offsets, item, weights, essential, np.searchsorted(keys // n_blocks, np.arange(len(terms) + 1)), keys % n_blocks, maxima, shared_most, questions, answers, wholes)
+    return Index(np.array(ids, np.int64)[good], longest or (int(lengths.max()) if len(good) else 0), terms, offsets, item, weights, essential, np.searchsorted(keys // n_blocks, np.arange(len(terms) + 1)), keys % n_blocks, maxima, shared_most, questions, answers, wholes)
 
 
 def _aligned(part: np.ndarray, there: list[int]) -> tuple[float, int]:
@@ -154,12 +186,19 @@ def _expand(offsets: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def search(index: Index, texts: list[str], threshold: float = THRESHOLD) -> list[tuple]:
     """All verified matches: (place in texts, item, score, question overlap, answer overlap, first word of the passage)."""
-    if not len(index.ids):
-        return []
+    return _search(index, *_hashed(texts), threshold)
+
+
+def searched(part: list[Index], texts: list[str]) -> list[tuple]:
+    """The matches of all indexes of a part, as search() gives them."""
     hashes, bounds = _hashed(texts)
-    if not len(hashes):
+    return [match for index in part for match in _search(index, hashes, bounds, THRESHOLD)]
+
+
+def _search(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple]:
+    if not len(index.ids) or not len(hashes):
         return []
-    stride = max(32, index.longest)  # passages of two strides overlap by one, so each copy of an item lies in one whole
+    stride = max(STRIDE, index.longest)  # passages of two strides overlap by one, so each copy of an item lies in one whole
     at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     known = np.flatnonzero(index.terms[at] == hashes)
     term = at[known]
@@ -199,19 +238,34 @@ def search(index: Index, texts: list[str], threshold: float = THRESHOLD) -> list
     return [(d, int(index.ids[i]), *rest) for (d, i), rest in out.items()]
 
 
-def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list[Index]:
-    """Indexes of items (item_id, text), each of about index_bytes of text at most. Null texts and short items have no place."""
+def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list[list[Index]]:
+    """Parts of items (item_id, text), each of about index_bytes of text at most, as indexes of items of similar length.
+
+    Neither weights nor passages depend on the parts: statistics are those of all items, and an item's own length gives
+    its stride. Null texts and short items have no place.
+    """
     items = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts, out = max(1, -(-total // index_bytes)), []
+
+    def rows_of(k: int) -> list:
+        return items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
+
+    first, known = rows_of(0), statistics([])
+    for k in range(parts):
+        known = _added(known, statistics([r["text"] for r in (rows_of(k) if k else first)]))
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        if rows:
-            out.append(index_of([-1 if r["item_id"] is None else r["item_id"] for r in rows], [r["text"] for r in rows]))
+        rows, by_stride = rows_of(k) if k else first, {}
+        n = np.diff(_hashed([r["text"] for r in rows])[1])
+        for r, words_of in zip(rows, n.tolist(), strict=True):
+            if words_of >= LEAST_WORDS:
+                by_stride.setdefault(max(STRIDE, 1 << (words_of - 1).bit_length()), []).append(r)
+        if by_stride:
+            out.append([index_of([-1 if r["item_id"] is None else r["item_id"] for r in own], [r["text"] for r in own], known=known, longest=stride) for stride, own in sorted(by_stride.items())])
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, first_word: the best passage of each document and item that match.
 
     Whole texts are searched; null and empty ones match nothing. Repeated documents give repeated rows, as do repeated
@@ -221,11 +275,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     shared.small_batches(spark, 500)
     rows = shared.spread(docs.select("doc_id", "text"))
     out = None
-    for index in indexes(items):
-        known = spark.sparkContext.broadcast(index)
+    for indexed in indexes(items, index_bytes):
+        known = spark.sparkContext.broadcast(indexed)
 
         def run(batch: pa.RecordBatch, known=known) -> pa.RecordBatch | None:
-            found = search(known.value, shared.texts_of(batch))
+            found = searched(known.value, shared.texts_of(batch))
             if not found:
                 return None
             doc, *columns = zip(*found, strict=True)
@@ -236,16 +290,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], FOUND)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs, all columns, without the rows that leaks() finds."""
     spark = docs.sparkSession
     shared.small_batches(spark, 500)
-    for index in indexes(items):
-        known = spark.sparkContext.broadcast(index)
+    for indexed in indexes(items, index_bytes):
+        known = spark.sparkContext.broadcast(indexed)
 
         def run(batch: pa.RecordBatch, known=known) -> pa.RecordBatch:
             clean = np.ones(batch.num_rows, bool)
-            clean[[f[0] for f in search(known.value, shared.texts_of(batch))]] = False
+            clean[[f[0] for f in searched(known.value, shared.texts_of(batch))]] = False
             return batch.filter(pa.array(clean))
 
         docs = shared.arrow_rows(docs, run, docs.schema)
