@@ -6,8 +6,8 @@ have theirs at the same place, so repeats can be found trigger by trigger. The t
 a trigger is its phrase: the dictionary has each distinct phrase once, with the number of its occurrences, and the
 parse is the list of phrases by document. Phrases that occur twice repeat as a whole. For phrases that differ but stand
 at equal triggers, dealt out by trigger, the suffix array of the dictionary is made, as far as 400 bytes: strings that
-share a place in it are equal. The parse then carries a phrase's result to each of its occurrences, so corpus order is
-the order of triggers and, within, of the dictionary; text that repeats is sorted once, not once per occurrence.
+share a place in it are equal. A join over the parse then carries a phrase's result to each of its occurrences; the parse
+has no suffix array and no order of the corpus is made. Text that repeats is sorted once, not once per occurrence.
 """
 
 from __future__ import annotations
