@@ -59,22 +59,22 @@ def repeats(rows: list[bytes], length: int) -> list[tuple]:
     return out
 
 
-def scores(docs: list[str | None], least: int = 2, backoff: float = 0.4) -> list[tuple]:
+def scores(docs: list[str | None], order: int = 3, held_out: bool = True, backoff: float = 0.4) -> list[tuple]:
     texts = [words(t) for t in docs]
-    one, two = collections.Counter(), collections.Counter()
-    for w in texts:
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    total, out = sum(one.values()), []
-    for w in texts:
+    grams = [collections.Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in texts]
+    seen, out = collections.Counter(), []
+    for g in grams:
+        seen.update(g)
+    total = sum(map(len, texts))
+    for w, g in zip(texts, grams, strict=True):
+        count = lambda x: seen[x] - held_out * g[x]  # noqa: B023, E731
         score, steps = 0.0, 0
-        for i, x in enumerate(w):
-            if i and two[w[i - 1], x] >= least:
-                score += math.log(two[w[i - 1], x] / one[w[i - 1]])
-            elif i:
-                score, steps = score + math.log(backoff * one[x] / total), steps + 1
-            else:
-                score += math.log(one[x] / total)
+        for i in range(len(w)):
+            n = min(order, i + 1)
+            while n > 1 and not count(tuple(w[i - n + 1 : i + 1])):
+                n, steps, score = n - 1, steps + 1, score + math.log(backoff)
+            gram = tuple(w[i - n + 1 : i + 1])
+            score += math.log(count(gram) / count(gram[:-1]) if n > 1 else max(count(gram), 1) / max(total - held_out * len(w), 1))
         out.append((len(w), steps, score))
     return out
 

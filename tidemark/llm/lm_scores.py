@@ -1,87 +1,27 @@
-"""Stupid-backoff scores of every document under an n-gram model of all documents.
+"""Stupid-backoff scores of every document under an n-gram model of all the others.
 
-The relation of exploded n-grams is kept packed. Documents lie in blocks; a block sends each of its distinct n-grams
-once, as a sorted array per hash partition, with its count in the block. A partition adds the counts up, which is its
-part of the count table, and answers each block in the block's own order. Blocks then look their documents' n-grams up
-and add the logarithms per document. However frequent an n-gram, it comes once from each block.
+The relations of exploded n-grams and of counts are kept packed (see exchange): a block of documents sends each of its
+distinct n-grams once to the hash range it belongs to, which adds the counts up and joins them back to the blocks.
+Blocks then look their documents' n-grams up and add the logarithms per document. All n-grams are in the model,
+whatever their count. What a document adds to the counts itself is taken out before it is scored: else every n-gram of
+a scored text would occur, none would back off, and text that is found nowhere else would score best.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import shared, words
-
-ORDER, BACKOFF = 2, 0.4
-#: The order of the registered query.
-REGISTERED_ORDER = 3
-#: n-grams of two words or more that occur more rarely in the whole corpus are not in the model.
-LEAST = 2
-#: Text bytes of a block, and of the blocks that feed one hash partition.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
-BLOCKS = "block long, n_bytes long, n_words long, doc_ids array<long>, packed binary"
-SCORES = "doc_id long, n_words long, n_backoffs long, score double, mean_score double"
-
-
-def _packed_texts(texts: list[bytes]) -> bytes:
-    """Texts after their lengths, compressed, as a block crosses the network once more."""
-    return zlib.compress(np.array([len(texts), *map(len, texts)], "<i8").tobytes() + b"".join(texts), 1)
-
-
-def _unpacked_texts(packed: bytes) -> list[str]:
-    data = zlib.decompress(packed)
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    ends = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i8", n, 8))])
-    return [data[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers byte place by byte place: the high places of small ones are zeros that compress to nothing."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
+from tidemark.llm import exchange, shared, words
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents, a row each, in the shared folder. A longer document is a block of its own."""
-    shared.small_batches(docs.sparkSession)
+ORDER, BACKOFF = 3, 0.4
+PARTS = "doc_id long, n_words long, n_backoffs long, n_base long, logs double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
 
-        def block(ids: list, texts: list) -> pa.RecordBatch:
-            hashes, _ = words.words(texts)
-            raw = [t.encode() for t in texts]
-            columns = [[number], [sum(map(len, raw))], [len(hashes)], [ids], [_packed_texts(raw)]]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
-
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), shared.texts_of(batch), strict=True):
-                if texts and size + len(text) > block_bytes:
-                    yield block(ids, texts)
-                    number, ids, texts, size = number + 1, [], [], 0
-                ids.append(doc)
-                texts.append(text)
-                size += len(text)
-        if texts:
-            yield block(ids, texts)
-
-    return shared.stored(shared.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, BLOCKS))
-
-
-def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Words' hashes and bounds, and for each n from 1 on: the n-gram that ends at each word, and whether the text has it."""
+def grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Words' bounds, and for each n from 1 on: the n-gram that ends at each word, and whether the text has it."""
     hashes, bounds = words.words(texts)
     place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
     keys, there = [], []
@@ -91,85 +31,61 @@ def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np
         value = value + words.mix(back + np.uint64(int(words._PLACE[n]) * n % (1 << 64)))
         keys.append(words.mix(value ^ words._PLACE[32 + n]))
         there.append(place >= n - 1)
-    return hashes, bounds, keys, there
-
-
-def _distinct(keys: list[np.ndarray], there: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams by partition and key, their counts, and where each partition's begin."""
-    value, many = np.unique(np.concatenate([k[t] for k, t in zip(keys, there, strict=True)]), return_counts=True)
-    part = (value % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return value[order], many[order].astype("<u4"), np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def counted(blocks: DataFrame, parts: int, order: int) -> DataFrame:
-    """block, part, counts: corpus counts of each block's n-grams, in the order of _distinct()."""
-
-    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-            _, _, keys, there = grams(_unpacked_texts(packed), order)
-            value, many, bounds = _distinct(keys, there, parts)
-            for p in np.flatnonzero(np.diff(bounds)):
-                steps = np.diff(value[bounds[p] : bounds[p + 1]], prepend=np.uint64(0))  # sorted: small steps pack well
-                rows.append((int(p), block, _planes(steps), zlib.compress(_planes(many[bounds[p] : bounds[p + 1]]), 1)))
-        part, block, keys, many = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(keys, pa.binary()), pa.array(many, pa.binary())], ["part", "block", "keys", "many"])
-
-    def add(table: pa.Table) -> pa.Table:
-        keys, many = [], []
-        for k, m in zip(table.column("keys").to_pylist(), table.column("many").to_pylist(), strict=True):
-            keys.append(np.cumsum(_from_planes(k), dtype=np.uint64))
-            many.append(_from_planes(zlib.decompress(m)))
-        sizes = [len(k) for k in keys]
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(where, np.concatenate(many))[where].astype("<u8")
-        answers = [zlib.compress(_planes(a), 1) for a in np.split(sums, np.cumsum(sizes)[:-1])]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.array(answers, pa.binary())})
-
-    asked = shared.arrow_rows(blocks.select("block", "packed"), ask, "part long, block long, keys binary, many binary")
-    return asked.groupBy("part").applyInArrow(add, "block long, part long, counts binary")
-
-
-def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    return bounds, keys, there
+
+
+def _decoded(texts: list[bytes]) -> list[str]:
+    return [t.decode() for t in texts]
+
+
+def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, held_out: bool = True, block_bytes: int = exchange.BLOCK_BYTES, part_bytes: int = exchange.PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_backoffs, score and mean_score for each row of docs (doc_id, text; others are left out).
 
-    score adds up the natural logarithms of each word's stupid-backoff score after up to order - 1 words of its text;
-    n_backoffs counts the steps to shorter n-grams. Whole texts count and are scored. A text without words, null ones
-    too, has score 0 and a null mean. Repeated rows count, and come back, as often as they are there.
+    score adds up the natural logarithms of each word's stupid-backoff score after up to order - 1 words of its text,
+    by the counts of all other rows (held_out=False: of all rows). A word that no other row has counts as one that
+    occurs once. n_backoffs counts the steps to shorter n-grams. Whole texts, however long, count and are scored. A
+    text without words, null ones too, has score 0 and a null mean. Repeated rows count, and come back, as often as
+    they are there; so do rows without doc_id. No rows give no rows.
     """
-    blocks = blocked(docs, block_bytes)
-    n_bytes, total = blocks.agg(F.sum("n_bytes"), F.sum("n_words")).first()
-    parts, total = max(1, -(-(n_bytes or 0) // part_bytes)), total or 1
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(SCORES.split(", "), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        ids, texts = left.column("doc_ids").to_pylist()[0], _unpacked_texts(left.column("packed").to_pylist()[0])
-        hashes, bounds, keys, there = grams(texts, order)
-        value, _, _ = _distinct(keys, there, parts)
-        answers = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        counts = np.concatenate([np.zeros(0), *[_from_planes(zlib.decompress(answers[p])) for p in sorted(answers)]])
-        by_key = np.argsort(value)
-        value, counts = value[by_key], counts[by_key]
-        look = lambda k: counts[np.searchsorted(value, k)]
-        own = [np.where(t, look(np.where(t, k, value[0])), 0.0) if len(value) else np.zeros(0) for k, t in zip(keys, there, strict=True)]
-        logs, steps = np.log(np.maximum(own[0], 1) / total), np.zeros(len(hashes), np.int64)
-        for n in range(1, order):
-            before = np.concatenate([[0.0], own[n - 1][:-1]]) if len(hashes) else own[n - 1]
-            seen = there[n] & (own[n] >= least)
-            logs = np.where(seen, np.log(np.maximum(own[n], 1) / np.maximum(before, 1)), np.where(there[n], np.log(backoff) + logs, logs))
-            steps = np.where(seen, 0, steps + there[n])
-        n = np.diff(bounds)
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (logs, steps)]
-        whole, stepped = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mean = pa.array(whole / n, mask=n == 0)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_backoffs": pa.array(stepped, pa.int64()), "score": pa.array(whole, pa.float64()), "mean_score": mean})
+    into = exchange.space(docs, part_bytes)
 
-    answers = counted(blocks, parts, order)
-    return blocks.select("block", "doc_ids", "packed").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
+    def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        _, keys, there = grams(_decoded(texts), order)
+        return np.unique(np.concatenate([into.cut(k[t]) for k, t in zip(keys, there, strict=True)]), return_counts=True)
+
+    def score(_: int, ids: list, texts: list[bytes], counts: np.ndarray) -> pa.Table:
+        bounds, keys, there = grams(_decoded(texts), order)
+        value = np.unique(np.concatenate([into.cut(k[t]) for k, t in zip(keys, there, strict=True)]))
+        n = np.diff(bounds)
+        owner = np.repeat(np.arange(len(n)), n)
+        seen = []
+        for k, t in zip(keys, there, strict=True):
+            found = np.zeros(len(owner), np.int64)
+            at = np.searchsorted(value, into.cut(k[t]))
+            found[t] = counts[at]
+            if held_out:
+                _, where, own = np.unique(owner[t] * len(value) + at, return_inverse=True, return_counts=True)
+                found[t] -= own[where]
+            seen.append(found)
+        logs, steps, base = np.log(np.maximum(seen[0], 1)), np.zeros(len(owner), np.int64), np.ones(len(owner), np.int64)
+        for k in range(1, order):
+            before = np.concatenate([[0], seen[k - 1][:-1]]) if len(owner) else seen[k - 1]
+            hit = there[k] & (seen[k] > 0)
+            logs = np.where(hit, np.log(np.maximum(seen[k], 1) / np.maximum(before, 1)), np.where(there[k], np.log(backoff) + logs, logs))
+            steps, base = np.where(hit, 0, steps + there[k]), np.where(hit, 0, base)
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (steps, base)]
+        stepped, based = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
+        total = np.bincount(owner, logs, minlength=len(n))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": n, "n_backoffs": stepped, "n_base": based, "logs": total})
+
+    answers = exchange.answered(docs, keys_of, into, block_bytes)
+    parts = shared.stored(exchange.matched(docs, answers, score, PARTS, block_bytes))
+    # Words that no longer n-gram explains are divided by the number of words in the corpus, known only now.
+    n_words = parts.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    others = F.lit(n_words) - F.col("n_words") if held_out else F.lit(n_words)
+    score_of = F.col("logs") - F.col("n_base") * F.log(F.greatest(others, F.lit(1)).cast("double"))
+    return parts.select("doc_id", "n_words", "n_backoffs", score_of.alias("score"), F.try_divide(score_of, F.col("n_words").cast("double")).alias("mean_score"))
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(shared.read(spark, sf_dir, "documents"), order=REGISTERED_ORDER)
+    return scores(shared.read(spark, sf_dir, "documents"))
