@@ -9,12 +9,18 @@ the library as they are. Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import threading
+import time
 from array import array
 
 import numpy as np
 
 #: Cuts remembered by a worker at most, the longest unused ones going first; about 200 bytes each.
 REMEMBERED = 1_500_000
+#: Seconds without use after which a worker, which outlives its tasks, gives their memory back.
+IDLE_S = 2.0
 
 
 def default_path() -> str:
@@ -48,6 +54,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.remembered, self.used = remembered, time.monotonic()
         self.cuts, self.marks = _Cuts(remembered), {}
         self.in_cuts = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
         self.alphabet = _byte_alphabet()
@@ -56,25 +63,35 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        """Gives remembered cuts back. A text that is being encoded meanwhile keeps those it uses."""
+        self.cuts, self.marks = _Cuts(self.remembered), {}
+
     def _merged(self, split: str) -> bytes:
         letters = split.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a blank and a word of letters. ASCII letters stand for themselves."""
+        if not word.isascii():
+            return self._merged(" " + word)
+        return array("I", [t.id for t in self.library.model.tokenize(self.alphabet[32] + word)]).tobytes()
+
     def _cut(self, text: str) -> bytes:
         return b"".join([self._merged(s) for s in self.split.findall(text)])
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: set[str], cuts: _Cuts) -> None:
         """Remembers cuts, each with the blank before it. Most are a word, or a word and a mark: the model merges their bytes directly."""
-        cuts, marks = self.cuts, self.marks
+        marks = self.marks
         for cut in new:
             if cut.isalpha():
-                cuts[cut] = self._merged(" " + cut)
+                cuts[cut] = self._word(cut)
             elif cut[-1] in ".,;:!?" and cut[:-1].isalpha():
                 word, mark = cut[:-1], cut[-1]
                 try:
                     ids = cuts[word]
                 except KeyError:
-                    ids = cuts[word] = self._merged(" " + word)
+                    ids = cuts[word] = self._word(word)
                 if mark not in marks:
                     marks[mark] = self._merged(mark)
                 cuts[cut] = ids + marks[mark]
@@ -84,6 +101,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        self.used = time.monotonic()
         first, *rest = text.split(" ")
         if not rest or not self.in_cuts or first[-1:].isspace():
             return self.whole(text)
@@ -94,7 +112,7 @@ class Encoder:
             new = {c for c in rest if c not in cuts and c not in cuts.old}
             if any(not c or c[-1].isspace() for c in new):  # white space before a blank
                 return self.whole(text)
-            self._learn(new)
+            self._learn(new, cuts)
             body = b"".join(map(cuts.__getitem__, rest))
             cuts.turn()
         return self._cut(first) + body + self._cut(" " + last)
@@ -117,8 +135,21 @@ def _split_pattern():
 _encoders: dict[str, Encoder] = {}
 
 
+def _release() -> None:
+    """Watches a worker's encoders: what later stages do not use shall not take their memory."""
+    while True:
+        time.sleep(IDLE_S / 4)
+        for own in list(_encoders.values()):
+            if (own.cuts or own.cuts.old) and time.monotonic() - own.used > IDLE_S:
+                own.forget()
+                with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+                    ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file."""
     if path not in _encoders:
+        if not _encoders:
+            threading.Thread(target=_release, daemon=True).start()
         _encoders[path] = Encoder(path)
     return _encoders[path]
