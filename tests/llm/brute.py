@@ -114,3 +114,16 @@ def secrets(text: str | None) -> list[tuple]:
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
     return sorted(out)
+
+
+def linked_secrets(text: str | None, kinds: list, scope: int) -> list[tuple]:
+    """All spans: the strong ones, and each weak one with a counterpart that stands apart from it within scope."""
+    t = text or ""
+    base = secrets(t)
+    found = [(m.start(), i, m.end()) for i, k in enumerate(kinds) if k.weak for m in re.finditer(k.pattern, t, re.A) if len(m[k.group]) >= k.least]
+    overlap = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    role = lambda s: kinds[s[1]].role
+    sites = [s for s in found if role(s) == "endpoint"]
+    found = [s for s in found if not (kinds[s[1]].name == "key" and any(overlap(s, x) for x in sites)) and not any(overlap(s, b) for b in base)]
+    fits = lambda a, b: (role(a) == "secret") != (role(b) == "secret") and not overlap(a, b) and max(a[0] - b[2], b[0] - a[2]) <= scope
+    return sorted(base + [s for s in found if any(fits(s, x) for x in base + found)])

@@ -1,8 +1,10 @@
 """Secret scan with multipart credential linking, in built-in expressions alone.
 
 Strong kinds have a shape of their own. Weak ones (an identifier, something secret-looking, an endpoint) are reported
-only where complementary parts stand in the same scope: a bucketed interval join, each part belonging to the two
-overlapping windows of text around it. Every array here belongs to one document, so nothing is shuffled.
+only where a complementary part stands apart from them in the same scope, at most SCOPE characters away. That is an
+interval join by sorting: the ends of all complementary parts and the starts of weak ones are sorted together, so that a
+weak part's rank says which end comes last before it, and likewise which start comes first after it. Every array here
+belongs to one document, so nothing is shuffled, and no two parts of a document are compared but neighbours.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shared
 
-#: Half a scope, in characters: parts are linked if they start in the same or in neighbouring stretches of this length.
-STRETCH = 200
+#: Characters between two parts that are linked, at most.
+SCOPE = 200
 MASK = "[SECRET]"
 
 
@@ -75,32 +77,68 @@ def _found(df: DataFrame, kind: Kind, order: int) -> DataFrame:
     return df.withColumn(f"_s{order}", kept).drop(*[f"_{c}{n}" for c in "mvpdbkqf"])
 
 
+_PARTS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _ranks(spans: Column, at: str, points: Column, equal: bool) -> Column:
+    """For each of spans, in their order, how many points lie before its start or end (at), or upon it too (equal)."""
+    none = F.lit(None).cast("int")
+    queries = F.transform(spans, lambda s: F.struct(s[at].alias("at"), F.lit(1).alias("turn"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    marks = F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(0 if equal else 2).alias("turn"), none.alias("start"), none.alias("kind"), none.alias("end")))
+    placed = F.transform(F.sort_array(F.concat(queries, marks)), lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), i.alias("i"), x["turn"].alias("turn")))
+    own = F.filter(placed, lambda x: x["turn"] == 1)
+    ranked = F.transform(own, lambda x, k: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), (x["i"] - k).alias("rank")))
+    return F.transform(F.sort_array(ranked), lambda x: x["rank"])
+
+
+def _points(spans: Column, at: str) -> Column:
+    return F.sort_array(F.transform(spans, lambda s: s[at]))
+
+
+def _apart(df: DataFrame, spans: str, others: Column) -> DataFrame:
+    """df with only those of spans (sorted) that overlap none of others: as many begin before its end as end before its start."""
+    df = df.withColumn("_others", others)
+    df = df.withColumns({"_begun": _ranks(F.col(spans), "end", _points(F.col("_others"), "start"), False), "_ended": _ranks(F.col(spans), "start", _points(F.col("_others"), "end"), True)})
+    kept = F.filter(spans, lambda s, i: F.get("_begun", i) == F.get("_ended", i))
+    return df.withColumn(spans, kept).drop("_others", "_begun", "_ended")
+
+
+def _linked(df: DataFrame, spans: str, others: Column, name: str) -> DataFrame:
+    """df with name: those of spans (sorted) that have one of others before or after them in their scope, without overlap."""
+    df = df.withColumns({"_ends": _points(others, "end"), "_starts": _points(others, "start")})
+    df = df.withColumns({"_before": _ranks(F.col(spans), "start", F.col("_ends"), True), "_after": _ranks(F.col(spans), "end", F.col("_starts"), False)})
+
+    def near(s: Column, i: Column) -> Column:
+        before, after = s["start"] - F.get("_ends", F.get("_before", i) - 1), F.get("_starts", F.get("_after", i)) - s["end"]
+        return (F.coalesce(before, F.lit(SCOPE + 1)) <= SCOPE) | (F.coalesce(after, F.lit(SCOPE + 1)) <= SCOPE)
+
+    return df.withColumn(name, F.filter(spans, near)).drop("_ends", "_starts", "_before", "_after")
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base and spans: arrays of structs (start, kind, end), by start, then kind; kind counts in KINDS.
 
-    base has the strong spans, spans also the weak ones that have a complementary part in their scope and do not
-    overlap a strong one. Offsets are code points, the end exclusive. Null texts count as empty and have no spans.
-    All other columns stay; columns named base or spans are replaced.
+    base has the strong spans, spans also the weak ones that overlap no strong one and have a complementary part, strong
+    or weak, in their scope: a secret needs an identifier or an endpoint, these need a secret. A part is never its own
+    counterpart, nor is what overlaps it; an address is no key. Offsets are code points, the end exclusive. Whole texts
+    are scanned, however long; null ones count as empty and have no spans. Rows are independent: repeated ones have
+    equal results, no rows give none. All other columns stay; columns named base or spans are replaced.
     """
     df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     for order, kind in enumerate(KINDS):
         df = _found(df, kind, order)
-    strong, weak = ([f"_s{i}" for i, k in enumerate(KINDS) if k.weak is w] for w in (False, True))
-    df = df.withColumns({"base": F.sort_array(F.concat(*strong)), "_weak": F.sort_array(F.concat(*weak))})
-    windows = lambda role: F.array_distinct(F.flatten(F.transform(F.concat(*[f"_s{i}" for i, k in enumerate(KINDS) if k.role == role]), _windows)))
-    any_weak = F.size("_weak") > 0
-    none = F.array().cast("array<int>")
-    df = df.withColumns({f"_w_{r}": F.when(any_weak, windows(r)).otherwise(none) for r in ("id", "secret", "endpoint")})
-    df = df.withColumn("_linked", F.array_intersect("_w_secret", F.array_union("_w_id", "_w_endpoint")))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    linked = F.filter("_weak", lambda s: F.arrays_overlap(_windows(s), "_linked") & apart(s))
-    df = df.withColumn("spans", F.when(F.size("_linked") > 0, F.sort_array(F.concat("base", linked))).otherwise(F.col("base")))
-    return df.drop("_text", "_weak", "_linked", *[f"_w_{r}" for r in ("id", "secret", "endpoint")], *[f"_s{i}" for i in range(len(KINDS))])
-
-
-def _windows(span: Column) -> Column:
-    at = F.floor(span["start"] / STRETCH).cast("int")
-    return F.array(at, at + 1)
+    of = lambda good: F.sort_array(F.concat(F.array().cast(_PARTS), *[F.col(f"_s{i}") for i, k in enumerate(KINDS) if good(k)]))
+    df = df.withColumns({"base": of(lambda k: not k.weak), "_keys": of(lambda k: k.name == "key"), "_sites": of(lambda k: k.role == "endpoint")})
+    df = _apart(df, "_keys", F.col("_sites"))
+    df = df.withColumns({"_weak_secret": F.sort_array(F.concat("_keys", of(lambda k: k.weak and k.role == "secret" and k.name != "key"))), "_weak_other": of(lambda k: k.weak and k.role != "secret")})
+    for spans in ("_weak_secret", "_weak_other"):
+        df = _apart(df, spans, F.col("base"))
+    strong = lambda good: F.filter("base", lambda s: s["kind"].isin([i for i, k in enumerate(KINDS) if not k.weak and good(k)]))
+    df = df.withColumns({"_secrets": F.concat("_weak_secret", strong(lambda k: k.role == "secret")), "_partners": F.concat("_weak_other", strong(lambda k: k.role != "secret"))})
+    df = _linked(df, "_weak_secret", F.col("_partners"), "_linked_secret")
+    df = _linked(df, "_weak_other", F.col("_secrets"), "_linked_other")
+    df = df.withColumn("spans", F.sort_array(F.concat("base", "_linked_secret", "_linked_other")))
+    return df.drop("_text", "_keys", "_sites", "_weak_secret", "_weak_other", "_secrets", "_partners", "_linked_secret", "_linked_other", *[f"_s{i}" for i in range(len(KINDS))])
 
 
 def written(spans: str) -> Column:
@@ -110,12 +148,13 @@ def written(spans: str) -> Column:
 
 
 def masked(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
-    """docs with each stretch of text under spans replaced by mask; n_chars, where there is one, follows.
+    """docs with each stretch of text under spans of secrets and identifiers replaced by mask; n_chars, where there is one, follows.
 
-    Texts without spans, null ones too, stay as they are. No row is dropped.
+    Addresses stay. Texts without spans, null ones too, stay as they are. No row is dropped.
     """
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))
-    df = scan(whole)
+    hidden = [i for i, k in enumerate(KINDS) if k.role != "endpoint"]
+    df = scan(whole).withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(hidden)))
     # Overlapping spans become one: a stretch begins where no earlier span reaches, and ends at the farthest end so far.
     merged = F.aggregate(
         "spans",
