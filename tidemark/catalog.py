@@ -485,14 +485,18 @@ def _(spark, d):
     return depth.history(_books(spark, d), 86_400).select("symbol", "ts_ms", "ltp")
 
 
+#: Days after the last event, on which the feed has not started.
+LATER = dt.date(2024, 2, 29)
+
+
 def _connections(spark: SparkSession, d: str) -> DataFrame:
-    """A log made from events of even days: clicks connect, purchases lose the connection."""
-    rows = events(spark, d).where(F.dayofmonth("ts") % 2 == 0)
+    """A log made from all events: those with ids divisible by three connect, the others lose the connection."""
+    rows = events(spark, d)
     kind = F.when(F.col("event_id") % 3 == 0, connections.CONNECT).otherwise(connections.LOST)
     return rows.select("event_id", kind.alias("event"), (F.unix_millis(F.col("ts").cast("timestamp")) * 100 + F.col("event_id") % 100).alias("ts_ms"), F.col("ts").cast("date").alias("day"))
 
 
-LOG = "log AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'CONNECT' ELSE 'DISCONNECTED' END AS event, CAST(epoch_us(ts) // 1000 AS BIGINT) * 100 + event_id % 100 AS ts_ms, CAST(ts AS DATE) AS day FROM events WHERE day(ts) % 2 = 0)"
+LOG = "log AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'CONNECT' ELSE 'DISCONNECTED' END AS event, CAST(epoch_us(ts) // 1000 AS BIGINT) * 100 + event_id % 100 AS ts_ms, CAST(ts AS DATE) AS day FROM events)"
 
 
 @query("connection_classify", f"WITH {LOG} SELECT event_id, ts_ms, day, CASE WHEN event <> 'CONNECT' THEN event WHEN row_number() OVER (PARTITION BY day, event ORDER BY ts_ms) = 1 THEN 'DAY_STARTED' ELSE 'RECONNECTED' END AS event FROM log")
@@ -500,9 +504,9 @@ def _(spark, d):
     return connections.classified(_connections(spark, d)).select("event_id", "ts_ms", "day", "event")
 
 
-@query("day_not_started", f"WITH {LOG} SELECT 'DAY_NOT_STARTED' AS event, CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 DAY) AS g(d) WHERE {_trades('d')} AND CAST(d AS DATE) NOT IN (SELECT day FROM log)")
+@query("day_not_started", f"WITH {LOG} SELECT 'DAY_NOT_STARTED' AS event, CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LATER}', INTERVAL 1 DAY) AS g(d) WHERE {_trades('d')} AND CAST(d AS DATE) NOT IN (SELECT day FROM log)")
 def _(spark, d):
-    return connections.not_started(trading_days.trading_days(spark, calendar(spark), FIRST, LAST), _connections(spark, d))
+    return connections.not_started(trading_days.trading_days(spark, calendar(spark), FIRST, LATER), _connections(spark, d))
 
 
 @query("feed_outages", f"WITH {LOG} SELECT day, ts_ms AS lost_ms, back_ms FROM (SELECT *, min(CASE WHEN event = 'CONNECT' THEN ts_ms END) OVER (PARTITION BY day ORDER BY ts_ms ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS back_ms FROM log) WHERE event = 'DISCONNECTED'")
