@@ -66,6 +66,16 @@ def test_calendar_refresh_keeps_the_past(spark):
     assert not trading_days.is_stale(old, d(2024, 3, 1), d(2024, 3, 2))
 
 
+def test_openings_far_ahead(spark):
+    d = dt.date(2024, 1, 1)
+    closed = spark.createDataFrame([(d + dt.timedelta(days=k), "holiday") for k in range(800)], schemas.CALENDAR)
+    r = trading_days.next_open(spark, closed, dt.datetime(2024, 1, 3, 12)).first()
+    assert r["opens_at"] == dt.datetime(2026, 3, 11, 9, 15)
+    back = trading_days.lookback_start(spark, closed, d + dt.timedelta(days=800), 15, 3600).first()["start"]
+    assert back == dt.datetime(2023, 12, 26, 9, 15)
+    assert trading_days.next_open(spark, closed.limit(0), dt.datetime(2024, 1, 5, 16)).first()["opens_at"] == dt.datetime(2024, 1, 8, 9, 15)
+
+
 def test_scalars(spark):
     row = spark.sql("select ' nse:reliance ' a, '' b, cast(null as string) c, '05-Jan-2026' d1, '2026-01-05' d2, '05/01/2026' d3, 'x' d4").select(
         *[scalars.normal_symbol(c).alias(c) for c in "abc"], *[scalars.any_date(f"d{k}").alias(f"d{k}") for k in range(1, 5)], scalars.mode_label(F.lit(" quote ")).alias("m")

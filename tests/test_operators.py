@@ -161,6 +161,67 @@ def test_candle_file_with_nanoseconds(spark, tmp_path):
     assert files.candle_file(spark, str(tmp_path / "none.parquet"), "A", "1m").count() == 0
 
 
+def test_first_hits_over_long_gaps(spark):
+    """Stops that are hit in the same hour, day, span of days, a later span, or never, against a loop."""
+    import random
+
+    rnd = random.Random(3)
+    start = dt.datetime(2024, 1, 2, 9, 15)
+    moments = sorted(start + dt.timedelta(seconds=rnd.choice([40, 4_000, 90_000, 3_000_000, 40_000_000]) * rnd.random() * 3) for _ in range(400))
+    ticks = [(rnd.choice("AB"), t, 100 + rnd.gauss(0, 1) * (1 + 3 * (k % 17 == 0)), 1.0, k) for k, t in enumerate(moments)]
+    found = [(s, "NSE", t, t, k, rnd.choice(["BUY", "SELL"]), p, 100 + rnd.uniform(-6, 6)) for s, t, p, _, k in ticks[::5]]
+    rows = spark.createDataFrame(found, schemas.SIGNAL + ", stop double")
+    got = {r["seq"]: (r["exit_ts"], r["exit_seq"]) for r in execution.first_hits(rows, spark.createDataFrame(ticks, schemas.TICK)).collect()}
+    for s, _, _, t, k, side, _, stop in found:
+        later = [(x, q) for symbol, x, p, _, q in ticks if symbol == s and (x, q) > (t, k) and (p <= stop if side == "BUY" else p >= stop)]
+        assert got[k] == (min(later) if later else (None, None))
+
+
+def test_the_chain_against_a_loop():
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(30):
+        rows = []
+        for k in range(rnd.randint(1, 40)):
+            m = rnd.randint(0, 30)
+            out = None if rnd.random() < 0.05 else m + rnd.randint(0, 6)
+            rows.append(("A", "BUY", pd.Timestamp(at(10, m)), k, 1.0, 0.9, pd.NaT if out is None else pd.Timestamp(at(10, out)), None if out is None else k + 1, 0.9))
+        rnd.shuffle(rows)
+        frame = pd.DataFrame(rows, columns=["symbol", "side", "ts", "seq", "price", "stop", "exit_ts", "exit_seq", "exit_price"])
+        want, free = [], None
+        for r in sorted(rows, key=lambda r: (r[2], r[3])):
+            if free is None or (r[2], r[3]) > free:
+                want.append(r[3])
+                if r[6] is pd.NaT:
+                    break
+                free = (r[6], r[7])
+        assert list(execution.chain(frame)["entry_seq"]) == want
+
+
+def test_broken_files_give_no_rows(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    (tmp_path / "empty.parquet").write_bytes(b"")
+    for name in ("bad", "empty", "none"):
+        assert files.candle_file(spark, str(tmp_path / f"{name}.parquet"), "A", "1m").count() == 0
+    (tmp_path / "all").mkdir()
+    (tmp_path / "all/x.parquet").write_bytes(b"PAR1 broken PAR1")
+    _minutes(spark, [1, 2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "all"))
+    assert files.readable(spark, str(tmp_path / "all"), schemas.CANDLE).count() == 2
+
+
+def test_an_upsert_reads_its_days_alone(spark, tmp_path):
+    path = str(tmp_path / "candles")
+    sinks.upsert_candles(_minutes(spark, [0, 1]).union(_minutes(spark, [0]).withColumn("ts", F.col("ts") + F.expr("interval 5 days"))), path)
+    fresh = _minutes(spark, [1]).withColumn("day", F.col("ts").cast("date"))
+    plan = sinks.stored_beside(fresh, path)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
+    assert "day" in scan and "2024-01-03" in scan and "tf" in scan
+    assert sinks.stored_beside(fresh, path).count() == 2
+    sinks.upsert_candles(_minutes(spark, []), path)
+    assert files.candle_table(spark, path).count() == 3
+
+
 def test_upsert(spark, tmp_path):
     path = str(tmp_path / "candles")
     old = _minutes(spark, [0, 1]).union(_minutes(spark, [0]).withColumn("symbol", F.lit("B")))

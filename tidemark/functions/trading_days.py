@@ -65,18 +65,28 @@ def lookback_days(min_candles: int, longest_tf: int) -> int:
 def lookback_start(spark: SparkSession, calendar: DataFrame, today: dt.date, min_candles: int, longest_tf: int) -> DataFrame:
     """start: the open of the trading day that is lookback_days() before today."""
     n = lookback_days(min_candles, longest_tf)
-    back = trading_days(spark, calendar, today - dt.timedelta(days=7 * n + 30), today - dt.timedelta(days=1))
+    # Each date that the calendar names can cost a trading day, each week has five others.
+    named = calendar.select("d").distinct().where(F.col("d") < F.lit(today)).count()
+    back = trading_days(spark, calendar, today - dt.timedelta(days=7 * (-(-(n + named) // 5) + 1)), today - dt.timedelta(days=1))
     chosen = back.orderBy(F.desc("d")).limit(n)
     return chosen.agg(F.min("d").alias("d")).select(_at("d", OPEN).alias("start"))
 
 
 def _at(day: Column | str, secs: int) -> Column:
-    return F.col(day).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(secs)) if isinstance(day, str) else day
+    day = F.col(day) if isinstance(day, str) else day
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(secs))
 
 
-def next_open(spark: SparkSession, calendar: DataFrame, now: dt.datetime, opens: int = OPEN, horizon_days: int = 366) -> DataFrame:
-    """opens_at, seconds: the first opening after now, and how long until then."""
-    ahead = trading_days(spark, calendar, now.date(), now.date() + dt.timedelta(days=horizon_days)).select(_at("d", opens).alias("opens_at"))
+def next_open(spark: SparkSession, calendar: DataFrame, now: dt.datetime, opens: int = OPEN, horizon_days: int | None = None) -> DataFrame:
+    """opens_at, seconds: the first opening after now, and how long until then.
+
+    Without a horizon there always is one: in the week after the last date that the calendar names, weekdays trade.
+    """
+    last = now.date() + dt.timedelta(days=horizon_days or 0)
+    if horizon_days is None:
+        known = calendar.agg(F.max("d")).first()[0]
+        last = max(now.date(), known or now.date()) + dt.timedelta(days=8)
+    ahead = trading_days(spark, calendar, now.date(), last).select(_at("d", opens).alias("opens_at"))
     wait = F.unix_millis(F.col("opens_at").cast("timestamp")) - F.unix_millis(F.lit(now).cast("timestamp_ntz").cast("timestamp"))
     return ahead.where(F.col("opens_at") > F.lit(now).cast("timestamp_ntz")).agg(F.min("opens_at").alias("opens_at")).select("opens_at", F.greatest(wait / 1000, F.lit(0.0)).alias("seconds"))
 

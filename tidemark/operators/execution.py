@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,55 +15,78 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 
 LEDGER = "trade bigint, symbol string, side string, entry_ts timestamp_ntz, entry_seq bigint, entry_price double, stop double, exit_ts timestamp_ntz, exit_seq bigint, exit_price double"
-#: Width of the time slices within which a stop's first hit is searched before looking at later ones.
-SLICE_SECONDS = 3600
+#: Widths of time slices, each a whole number of the one before: within the least a stop's first hit is searched tick by
+#: tick, in wider ones by their extremes. A signal meets at most the slices of its own next wider one on each level.
+SLICES = (3_600, 86_400, 64 * 86_400)
 
 
 def with_stops(signals: DataFrame, fraction: float = 0.002) -> DataFrame:
     return signals.withColumn("stop", scalars.stop_price("side", "price", fraction))
 
 
+def _extremes(moments: DataFrame) -> DataFrame:
+    """symbol, level, parent, slice, lo, hi: the extremes of slices of every width; the widest ones share one parent."""
+    at = lambda k: F.floor(F.col("second") / SLICES[k])
+    levels = [F.struct(F.lit(k).alias("level"), (at(k + 1) if k + 1 < len(SLICES) else F.lit(0).cast("bigint")).alias("parent"), at(k).alias("slice")) for k in range(len(SLICES))]
+    least = moments.groupBy("symbol", "slice").agg(F.min("x_price").alias("lo"), F.max("x_price").alias("hi"))
+    rows = least.withColumn("second", F.col("slice") * SLICES[0]).select("symbol", "lo", "hi", F.explode(F.array(*levels)).alias("l"))
+    return rows.groupBy("symbol", "l.level", "l.parent", "l.slice").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def first_hits(signals: DataFrame, ticks: DataFrame) -> DataFrame:
     """signals (with stop) with exit_ts, exit_seq, exit_price: the first later tick of the symbol at or beyond the stop.
 
-    Ticks are first summed up as the extremes of time slices. A signal finds the first slice after its own whose extreme
-    reaches the stop, and is then joined to the ticks of that slice and its own alone, by equality: not to all later ticks.
+    Ticks are summed up as the extremes of slices of several widths. A signal asks the later slices of its own hour's
+    day, then those of its day's span, then later spans; from the first one that reaches the stop it goes down to the
+    hour, and is then joined to the ticks of that hour and its own alone. All of it are joins by equality on the slice
+    above, so a signal meets some hundred rows however long the history is.
     """
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     moments = ticks.where("symbol is not null and ts is not null and ltp is not null").select("symbol", F.col("ts").alias("x_ts"), F.col("seq").alias("x_seq"), F.col("ltp").alias("x_price"))
-    slice_of = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / SLICE_SECONDS)
-    moments = moments.withColumn("slice", slice_of("x_ts"))
-    extremes = moments.groupBy("symbol", "slice").agg(F.min("x_price").alias("lo"), F.max("x_price").alias("hi"))
-    keyed = signals.withColumn("own_slice", slice_of("ts"))
-    reach = F.when(F.col("side") == "BUY", F.col("lo") <= F.col("stop")).otherwise(F.col("hi") >= F.col("stop"))
-    later = keyed.join(extremes, "symbol").where((F.col("slice") > F.col("own_slice")) & reach)
+    moments = moments.withColumn("slice", F.floor(seconds("x_ts") / SLICES[0]))
+    extremes = _extremes(moments)
     key = ["symbol", "ts", "seq"]
-    next_slice = later.groupBy(*key).agg(F.min("slice").alias("slice"))
-    both = keyed.select(*key, F.col("own_slice").alias("slice")).union(next_slice.select(*key, "slice"))
+    keyed = signals.select(*key, "side", "stop", seconds("ts").alias("second"))
+    reach = F.when(F.col("side") == "BUY", F.col("lo") <= F.col("stop")).otherwise(F.col("hi") >= F.col("stop"))
+    own = lambda k: F.floor(F.col("second") / SLICES[k])
+    asks = F.array(*[F.struct(F.lit(k).alias("level"), (own(k + 1) if k + 1 < len(SLICES) else F.lit(0).cast("bigint")).alias("parent"), own(k).alias("own")) for k in range(len(SLICES))])
+    asked = keyed.select(*key, "side", "stop", F.explode(asks).alias("a")).select(*key, "side", "stop", "a.*")
+    later = asked.join(extremes, ["symbol", "level", "parent"]).where((F.col("slice") > F.col("own")) & reach)
+    # Slices of a lower level come before all later ones of a higher level.
+    place = later.groupBy(*key, "side", "stop").agg(F.min(F.struct("level", "slice")).alias("p")).select(*key, "side", "stop", "p.level", "p.slice")
+    for level in reversed(range(1, len(SLICES))):
+        inside = place.where(F.col("level") == level).select(*key, "side", "stop", F.col("slice").alias("parent"))
+        children = extremes.where(F.col("level") == level - 1).select("symbol", "parent", "slice", "lo", "hi")
+        first = inside.join(children, ["symbol", "parent"]).where(reach).groupBy(*key, "side", "stop").agg(F.min("slice").alias("slice"))
+        place = place.where(F.col("level") < level).unionByName(first.withColumn("level", F.lit(level - 1)))
+    hours = keyed.select(*key, "side", "stop", own(0).alias("slice")).unionByName(place.drop("level"))
     hit = scalars.stop_hit("side", "x_price", "stop") & (F.struct("x_ts", "x_seq") > F.struct("ts", "seq"))
-    found = keyed.select(*key, "side", "stop").join(both, key).join(moments, ["symbol", "slice"]).where(hit)
-    first = found.groupBy(*key).agg(F.min(F.struct("x_ts", "x_seq", "x_price")).alias("x"))
-    exits = first.select(*key, F.col("x.x_ts").alias("exit_ts"), F.col("x.x_seq").alias("exit_seq"), F.col("x.x_price").alias("exit_price"))
+    found = hours.join(moments, ["symbol", "slice"]).where(hit).groupBy(*key).agg(F.min(F.struct("x_ts", "x_seq", "x_price")).alias("x"))
+    exits = found.select(*key, F.col("x.x_ts").alias("exit_ts"), F.col("x.x_seq").alias("exit_seq"), F.col("x.x_price").alias("exit_price"))
     return signals.join(exits, key, "left")
 
 
 def chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """The signals that find no open position: each is the first one after the exit of the one before."""
-    rows = rows.sort_values(["ts", "seq", "symbol"], kind="stable")
-    taken, free_ts, free_seq = [], None, None
-    for r in rows.itertuples(index=False):
-        if free_ts is not None and (r.ts, r.seq) <= (free_ts, free_seq):
-            continue
-        taken.append((len(taken) + 1, r.symbol, r.side, r.ts, r.seq, r.price, r.stop, r.exit_ts, r.exit_seq, r.exit_price))
-        if pd.isna(r.exit_ts):
+    """The signals that find no open position: each is the first one after the exit of the one before, found by bisection."""
+    rows = rows.sort_values(["ts", "seq", "symbol"], kind="stable", ignore_index=True)
+    ts, seq, exit_ts = rows["ts"].to_numpy(), rows["seq"].to_numpy(), rows["exit_ts"].to_numpy()
+    exit_seq = rows["exit_seq"].fillna(0).to_numpy(np.int64)
+    taken, at = [], 0
+    while at < len(rows):
+        taken.append(at)
+        if np.isnat(exit_ts[at]):
             break  # it stays open
-        free_ts, free_seq = r.exit_ts, r.exit_seq
-    return pd.DataFrame(taken, columns=[c.split()[0] for c in LEDGER.split(", ")]).astype({"exit_seq": "Int64"})
+        same, after = np.searchsorted(ts, exit_ts[at], "left"), np.searchsorted(ts, exit_ts[at], "right")
+        at = int(same + np.searchsorted(seq[same:after], exit_seq[at], "right"))
+    out = rows.iloc[taken].assign(trade=np.arange(1, len(taken) + 1), entry_ts=ts[taken], entry_seq=seq[taken], entry_price=rows["price"].to_numpy()[taken])
+    return out[[c.split()[0] for c in LEDGER.split(", ")]].astype({"exit_seq": "Int64"})
 
 
 def ledger(exits: DataFrame, account: str | None = None) -> DataFrame:
     """Trades of a single position over first_hits() rows: signals that come while it is open are dropped.
 
-    The chain is sequential by nature and runs over signals, not ticks: one group, or one per account column.
+    The chain is sequential by nature: one group, or one per account column, that holds signals (some hundred bytes
+    each), not ticks, and takes one bisection per trade.
     """
     columns = ["symbol", "side", "ts", "seq", "price", "stop", "exit_ts", "exit_seq", "exit_price"]
     if account is None:

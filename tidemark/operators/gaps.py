@@ -18,10 +18,11 @@ def expected(symbols: DataFrame, days: DataFrame, labels: Iterable[str], start:
     """symbol, tf, ts: every bucket of the session on each of days (d), for each of symbols (symbol).
 
     start: the earliest bucket; as_of: only buckets closed by then. Symbols and days are short lists that are paired on
-    purpose; slots come from an expression, so the result is generated where it is used.
+    purpose; slots come from an expression, so the result is generated where it is used. Days are a calendar's, some
+    hundred a year at any size of the data, and go to every task.
     """
     spans = F.array(*[F.struct(F.lit(t).alias("tf"), F.sequence(F.lit(0), F.lit(CLOSE - OPEN - 1), F.lit(timeframes.seconds(t))).alias("slots")) for t in labels])
-    rows = symbols.select("symbol").distinct().join(days.select("d").distinct(), F.lit(True)).select("symbol", "d", F.explode(spans).alias("s"))
+    rows = symbols.select("symbol").distinct().join(F.broadcast(days.select("d").distinct())).select("symbol", "d", F.explode(spans).alias("s"))
     rows = rows.select("symbol", F.col("s.tf").alias("tf"), "d", F.explode("s.slots").alias("slot"))
     rows = rows.select("symbol", "tf", (F.col("d").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("slot") + OPEN).cast("decimal(18,6)"))).alias("ts"))
     if start is not None:

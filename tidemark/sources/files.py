@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,20 +73,36 @@ def history_candles(rows: DataFrame) -> DataFrame:
     return rows.select("symbol", F.get_json_object("raw_json", "$.interval").alias("tf"), session.from_epoch_ms("timestamp").alias("ts"), *[number(n) for n in ("open", "high", "low", "close", "volume")])
 
 
+def candle_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """A candle table partitioned by tf, symbol and day, with day as the partition column; none yet gives no rows."""
+    schema = f"{schemas.CANDLE}, day date"
+    try:
+        return spark.read.schema(schema).parquet(path).where("ts is not null")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def candle_table(spark: SparkSession, path: str) -> DataFrame:
-    """A candle table partitioned by tf and symbol; none yet gives no rows."""
+    return candle_partitions(spark, path).drop("day")
+
+
+def readable(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of those Parquet files, and of those row groups before the first broken one in a file, that can be read."""
     try:
-        return spark.read.schema(schemas.CANDLE).parquet(path).where("ts is not null")
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], schemas.CANDLE)
+        return spark.createDataFrame([], schema)
 
 
 def candle_file(spark: SparkSession, path: str, symbol: str, tf: str) -> DataFrame:
-    """A single-series candle file from elsewhere: wall-clock times as they are, times with a zone (nanoseconds too) as IST."""
+    """A single-series candle file from elsewhere: wall-clock times as they are, times with a zone (nanoseconds too) as IST.
+
+    A missing or broken file, or one without the columns of a candle, gives no rows, a file that breaks off those before.
+    """
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
+        rows = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+    except (AnalysisException, SparkException):
         return spark.createDataFrame([], schemas.CANDLE)
     kind = rows.schema["timestamp"].dataType.simpleString() if "timestamp" in rows.columns else ""
     to_ist = lambda c: F.convert_timezone(F.lit("UTC"), F.lit("Asia/Kolkata"), c.cast("timestamp_ntz"))
@@ -104,7 +120,10 @@ def depth_messages(messages: DataFrame, column: str = "value") -> DataFrame:
 
 
 def quote_messages(messages: DataFrame, column: str = "value", seq: str | None = None) -> DataFrame:
-    """Ticks of raw JSON messages; broken JSON, other types and quotes without symbol or price are left out."""
+    """Ticks of raw JSON messages; broken JSON, other types and quotes without symbol or price are left out.
+
+    seq: the column that tells in which order messages came, of any type that has an order.
+    """
     order = F.col(seq) if seq else F.lit(0).cast("bigint")
     parsed = messages.select(F.from_json(F.col(column).cast("string"), schemas.QUOTE_MESSAGE).alias("m"), order.alias("seq"))
     rows = parsed.where("m.type = 'market_data'").select(

@@ -17,14 +17,15 @@ PARTITIONS = ["tf", "symbol", "day"]
 def upsert_candles(new: DataFrame, path: str) -> None:
     """Writes candles to a table partitioned by timeframe, symbol and day; of equal keys the new candle stays.
 
-    Only the partitions that new has rows in are read and rewritten: merged rows go to a staging folder first, as a plan
-    must not read what it overwrites, and then replace whole partitions in one commit.
+    Only partitions that new has rows in are rewritten, and only those of its days and timeframes are read. Merged rows
+    go to a staging folder first, as a plan must not read what it overwrites. Each partition is then replaced as a
+    whole; several of them are not one atomic commit, so a run that fails between them has to be repeated, which gives
+    the same table. A table has one writer at a time.
     """
     spark = new.sparkSession
     fresh = new.where("ts is not null").withColumn("day", F.col("ts").cast("date"))
-    touched = F.broadcast(fresh.select(*PARTITIONS).distinct()) if fresh.isStreaming else fresh.select(*PARTITIONS).distinct()
-    stored = files.candle_table(spark, path).withColumn("day", F.col("ts").cast("date")).join(touched, PARTITIONS, "left_semi").drop("day")
-    rows = stored.withColumn("version", F.lit(0)).unionByName(fresh.drop("day").select(*stored.columns).withColumn("version", F.lit(1)))
+    stored = stored_beside(fresh, path).drop("day")
+    rows = stored.withColumn("version", F.lit(0)).unionByName(fresh.select(*stored.columns).withColumn("version", F.lit(1)))
     merged = merging.newest_wins(rows).withColumn("day", F.col("ts").cast("date"))
     staging = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
     merged.write.parquet(staging)
@@ -33,6 +34,17 @@ def upsert_candles(new: DataFrame, path: str) -> None:
     _remove(spark, staging)
 
 
+def stored_beside(fresh: DataFrame, path: str) -> DataFrame:
+    """Stored candles, with day, of the partitions that fresh (with day) has rows in. The filter on days and timeframes
+    prunes partitions before anything is listed or read; it is two dates and a few labels, however many rows are new."""
+    bounds = fresh.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.collect_set("tf").alias("tfs")).first()
+    stored = files.candle_partitions(fresh.sparkSession, path)
+    if bounds["first"] is None:
+        return stored.where(F.lit(False))
+    near = stored.where(F.col("day").between(F.lit(bounds["first"]), F.lit(bounds["last"])) & F.col("tf").isin(bounds["tfs"]))
+    return near.join(fresh.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+
+
 def _remove(spark, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

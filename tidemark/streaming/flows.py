@@ -13,27 +13,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import candles
+from tidemark.functions import scalars, session, timeframes, trading_days
+from tidemark.operators import candles, signals
 from tidemark.sources import files, sinks
 
 
 def messages(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Feed messages that land as text files. The number of files per batch is what bounds a batch, as a queue's size would."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    """value, arrived: feed messages that land as text files, in the order of files' times, names and lines.
+
+    The number of files per batch is what bounds a batch, as a queue's size would. A file is what a feed writes in some
+    seconds; it is read as a whole, as lines have no number otherwise.
+    """
+    whole = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
+    lines = whole.select(F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    return lines.where("value <> ''").select("value", F.struct("modified", "file", "line").alias("arrived"))
 
 
 def ticks(raw: DataFrame) -> DataFrame:
-    return files.quote_messages(raw)
+    """Ticks of messages(), seq being when they arrived."""
+    return files.quote_messages(raw, seq="arrived" if "arrived" in raw.columns else None)
+
 
+def candle_stream(tick_stream: DataFrame, labels: Iterable[str], delay: str = "2 minutes", session_only: bool = True, calendar: DataFrame | None = None) -> DataFrame:
+    """Candles that are final: a bucket is emitted once the watermark has passed it. Later ticks are dropped and counted by Spark.
 
-def candle_stream(tick_stream: DataFrame, labels: Iterable[str], delay: str = "2 minutes", session_only: bool = True) -> DataFrame:
-    """Candles that are final: a bucket is emitted once the watermark has passed it. Later ticks are dropped and counted by Spark."""
+    With a calendar its special sessions and holidays hold, as in batch; without one all weekdays trade.
+    """
     valid = tick_stream.where("symbol is not null and ts is not null and ltp is not null").withColumn("qty", F.coalesce("qty", F.lit(0.0)))
+    valid = valid.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     if session_only:
-        from tidemark.functions import session
-
-        valid = valid.where(session.in_session(F.col("ts").cast("timestamp_ntz")))
-    rows = candles.with_buckets(valid.withColumn("ts", F.col("ts").cast("timestamp_ntz")), labels)
+        valid = trading_days.only_sessions(valid, calendar)
+    rows = candles.with_buckets(valid, labels)
     rows = rows.withColumn("bucket", F.col("bucket").cast("timestamp")).withWatermark("bucket", delay)
     opens, closes = candles.first_last()
     bars = rows.groupBy("symbol", "tf", "bucket").agg(opens.alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), closes.alias("close"), F.sum("qty").alias("volume"))
@@ -66,6 +76,22 @@ def first_signals(signal_stream: DataFrame, delay: str = "10 minutes") -> DataFr
     return signal_stream.withWatermark("ref_ts", delay).dropDuplicatesWithinWatermark(["symbol", "ref_ts"])
 
 
+def breakout_stream(tick_stream: DataFrame, bars: DataFrame, reference_tf: str = "1m", delay: str = "2 minutes", calendar: DataFrame | None = None, exchange: str = "NSE") -> DataFrame:
+    """signals.breakouts() over a stream of ticks and the candles known so far (of reference_tf, a table).
+
+    Each tick meets the levels of its bucket by equality. The first breach of a reference candle is final once the
+    watermark has passed its bucket.
+    """
+    levels = signals.previous_levels(bars.where(F.col("tf") == reference_tf)).where("ref_ts is not null")
+    levels = levels.select("symbol", F.col("ts").alias("bucket"), "ref_ts", "ref_high", "ref_low")
+    valid = tick_stream.where("symbol is not null and ts is not null and ltp is not null").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = trading_days.only_sessions(valid, calendar).withColumn("bucket", session.bucket("ts", timeframes.seconds(reference_tf))).join(levels, ["symbol", "bucket"])
+    hits = rows.withColumn("side", scalars.breakout_side("ltp", "ref_high", "ref_low")).where("side is not null")
+    hits = hits.withColumn("bucket", F.col("bucket").cast("timestamp")).withWatermark("bucket", delay)
+    first = hits.groupBy("symbol", "ref_ts", "bucket").agg(F.min(F.struct("ts", "seq", "side", F.col("ltp").alias("price"))).alias("s"))
+    return first.select("symbol", F.lit(exchange).alias("exchange"), "ref_ts", "s.ts", "s.seq", "s.side", "s.price")
+
+
 POSITION_EVENTS = "kind string, symbol string, side string, price double, ts timestamp, seq long"
 FILLS = "symbol string, action string, side string, price double, ts timestamp"
 
