@@ -27,7 +27,6 @@ from tidemark.llm.encoding import default_path, encoder
 WINDOW = 1024
 END = (0).to_bytes(4, "little")
 TOKENS = "doc_id long, block long, row long, n_tokens long, rest int, rest_rank long, full_before long, crcs array<long>, ids binary"
-PLACES = "rest int, lo long, hi long, part_start int, part_length int, sequence long, offset int"
 
 
 class _Lengths:
@@ -179,14 +178,7 @@ def pieces(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = {r["rest"]: r["n"] for r in by_block.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     places, n_sequences = plan({n: c for n, c in counts.items() if n}, window)
     ranked = light.join(bases.select("block", "rest", "rank_base"), ["block", "rest"]).withColumn("rank", F.col("rank_base") + F.col("rest_rank"))
-    # The plan's rows are bounded by the window, not by the corpus.
-    place_rows = F.broadcast(spark.createDataFrame(places, PLACES).withColumnRenamed("rest", "place_rest"))
-    hit = (F.col("rest") == F.col("place_rest")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    rest_start = F.col("n_tokens") - F.col("rest")
-    rests = ranked.join(place_rows, hit).select(
-        "doc_id", "block", "row", "rest", (rest_start + F.col("part_start")).alias("start"), F.col("part_length").cast("long").alias("length"),
-        F.element_at("crcs", -1).alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"), (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), F.col("offset").cast("long").alias("offset"),
-    )
+    rests = _placed(ranked.select("doc_id", "block", "row", "n_tokens", "rest", "rank", F.element_at("crcs", -1).alias("ids_crc32")), places)
     cut_lengths = sorted({p[0] for p in places if p[4] != p[0]})
     uncut = rests.where(F.col("length") == F.col("rest")).drop("rest")
     full_blocks = light.groupBy("block").agg(F.sum(F.floor(F.col("n_tokens") / window)).alias("n"))
@@ -204,6 +196,55 @@ def pieces(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     return out
 
 
+class _Places:
+    """The plan by length and rank: stretches of ranks that have the same parts, found by bisection."""
+
+    def __init__(self, places: list[tuple]):
+        rest, lo, hi, *_ = self.columns = np.array(places, np.int64).reshape(-1, 7).T
+        self.starts = np.unique(np.concatenate([self.key(rest, lo), self.key(rest, hi)]))
+        first, last = (np.searchsorted(self.starts, self.key(rest, x)) for x in (lo, hi))
+        stretch = np.repeat(first, last - first) + np.arange((last - first).sum()) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
+        order = np.argsort(stretch, kind="stable")
+        self.part = np.repeat(np.arange(len(rest)), last - first)[order]
+        self.bounds = np.searchsorted(stretch[order], np.arange(len(self.starts) + 1))
+
+    @staticmethod
+    def key(rest: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return (rest << 47) + rank
+
+    def of(self, rest: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each part of each of these remainders: which of them it belongs to, and the place."""
+        at = np.searchsorted(self.starts, self.key(rest, rank), side="right") - 1
+        n = self.bounds[at + 1] - self.bounds[at]
+        which = np.repeat(np.arange(len(rest)), n)
+        return which, self.part[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[at], n)]
+
+
+PLACED = "doc_id long, block long, row long, rest int, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _placed(ranked: DataFrame, places: list[tuple]) -> DataFrame:
+    """The pieces of remainders. The plan that goes to every task has some thousand places, by the window alone."""
+    if not places:
+        return ranked.sparkSession.createDataFrame([], PLACED)
+    known = ranked.sparkSession.sparkContext.broadcast(_Places(places))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(pa.array(batch.column("rest").to_numpy() > 0))
+        if not batch.num_rows:
+            return None
+        plan_of = known.value
+        rest, rank, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("rest", "rank", "n_tokens"))
+        which, place = plan_of.of(rest, rank)
+        _, lo, _, part_start, part_length, sequence, offset = (c[place] for c in plan_of.columns)
+        own = batch.take(pa.array(which))
+        columns = [own.column("doc_id"), own.column("block"), own.column("row"), own.column("rest"), pa.array((n - rest)[which] + part_start), pa.array(part_length)]
+        columns += [own.column("ids_crc32"), own.column("n_tokens"), pa.array(sequence + rank[which] - lo), pa.array(offset)]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PLACED.split(", ")])
+
+    return shared.arrow_rows(ranked, run, PLACED)
+
+
 def _checksums(cut: DataFrame) -> DataFrame:
     names = [f.name for f in cut.schema if f.name != "ids"]
 
@@ -219,7 +260,8 @@ def _checksums(cut: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) -> DataFrame:
     """Packs docs (doc_id, text; other columns are left out) into windows; see pieces() for the columns.
 
-    A null or empty text is its end id alone; repeated rows are packed as often as they come.
+    A null or empty text is its end id alone; whole texts are packed, however long; repeated rows are packed as often
+    as they come. No rows give no pieces.
     """
     return pieces(encoded(docs, window, tokenizer), window)
 
