@@ -3,13 +3,16 @@
 Every passage of every document is a query. Scores are divided by what an item scores against itself, so one threshold
 serves all. The index holds, per term, its weight in each item and its largest weight in each block of items. The terms
 that most items share cannot reach the threshold together; the others' block maxima bound a passage's score for a
-block, all passages of a batch at once, and only passages and blocks that may reach the threshold are scored. What
+block, and only passages and blocks that may reach the threshold are scored. As all passages above a fixed threshold are
+wanted, not the best k, the bound never rises while searching: so it is worked out for all passages of a batch at once,
+where the usual form moves a pivot from one item to the next. What
 scores enough is verified: question and answer are aligned with the passage, so that a changed, missing or added word
 costs one word, wherever it is, and words out of order or scattered over the passage count for nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +31,7 @@ WHOLE = 0.8
 SHORT, SHORT_WHOLE = 3, 0.7
 #: Passages of short items have a stride of so many words; those of longer items, of the next power of two.
 STRIDE = 32
-#: Items of fewer words are no evidence of a leak and are not searched.
+#: Items of fewer words are no evidence of a leak inside of a text: they are found where they are the whole text.
 LEAST_WORDS = 5
 BLOCK = 8
 #: Text of items in one broadcast; more items are searched one part after the other.
@@ -62,6 +65,7 @@ class Index:
     questions: list  # hashes of words in order, by item
     answers: list
     wholes: list
+    short: dict  # items of too few words to be searched: their words' hashes, and the ids of those who have them
 
 
 @dataclass
@@ -135,7 +139,10 @@ def index_of(ids: list[int], texts: list[str], threshold: float = THRESHOLD, kno
         questions.append(own_words[:cut])
         answers.append(own_words[cut:])
         wholes.append(own_words)
-    return Index(np.array(ids, np.int64)[good], longest or (int(lengths.max()) if len(good) else 0), terms, offsets, item, weights, essential, np.searchsorted(keys // n_blocks, np.arange(len(terms) + 1)), keys % n_blocks, maxima, shared_most, questions, answers, wholes)
+    short: dict[tuple, list[int]] = {}
+    for k in np.flatnonzero((n > 0) & (n < LEAST_WORDS)):
+        short.setdefault(tuple(hashes[bounds[k] : bounds[k + 1]].tolist()), []).append(int(ids[k]))
+    return Index(np.array(ids, np.int64)[good], longest or (int(lengths.max()) if len(good) else 0), terms, offsets, item, weights, essential, np.searchsorted(keys // n_blocks, np.arange(len(terms) + 1)), keys % n_blocks, maxima, shared_most, questions, answers, wholes, short)
 
 
 def _aligned(part: np.ndarray, there: list[int]) -> tuple[float, int]:
@@ -196,8 +203,14 @@ def searched(part: list[Index], texts: list[str]) -> list[tuple]:
 
 
 def _search(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple]:
-    if not len(index.ids) or not len(hashes):
-        return []
+    found = []
+    if index.short:
+        for d in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < LEAST_WORDS)).tolist():
+            found += [(d, item, 1.0, 1.0, 1.0, 0) for item in index.short.get(tuple(hashes[bounds[d] : bounds[d + 1]].tolist()), ())]
+    return found + _search_passages(index, hashes, bounds, threshold) if len(index.ids) and len(hashes) else found
+
+
+def _search_passages(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple]:
     stride = max(STRIDE, index.longest)  # passages of two strides overlap by one, so each copy of an item lies in one whole
     at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     known = np.flatnonzero(index.terms[at] == hashes)
@@ -238,15 +251,16 @@ def _search(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: flo
     return [(d, int(index.ids[i]), *rest) for (d, i), rest in out.items()]
 
 
-def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list[list[Index]]:
+def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[list[Index]]:
     """Parts of items (item_id, text), each of about index_bytes of text at most, as indexes of items of similar length.
 
     Neither weights nor passages depend on the parts: statistics are those of all items, and an item's own length gives
-    its stride. Null texts and short items have no place.
+    its stride. Null texts have no place, nor have items without words. One part at a time is on the driver; what stays
+    there are the terms of all items with their numbers.
     """
     items = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts, out = max(1, -(-total // index_bytes)), []
+    parts = max(1, -(-total // index_bytes))
 
     def rows_of(k: int) -> list:
         return items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
@@ -258,21 +272,21 @@ def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list[list[Index
         rows, by_stride = rows_of(k) if k else first, {}
         n = np.diff(_hashed([r["text"] for r in rows])[1])
         for r, words_of in zip(rows, n.tolist(), strict=True):
-            if words_of >= LEAST_WORDS:
+            if words_of:
                 by_stride.setdefault(max(STRIDE, 1 << (words_of - 1).bit_length()), []).append(r)
         if by_stride:
-            out.append([index_of([-1 if r["item_id"] is None else r["item_id"] for r in own], [r["text"] for r in own], known=known, longest=stride) for stride, own in sorted(by_stride.items())])
-    return out
+            yield [index_of([-1 if r["item_id"] is None else r["item_id"] for r in own], [r["text"] for r in own], known=known, longest=stride) for stride, own in sorted(by_stride.items())]
 
 
 def leaks(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, first_word: the best passage of each document and item that match.
 
-    Whole texts are searched; null and empty ones match nothing. Repeated documents give repeated rows, as do repeated
-    items; no items or no documents give no rows. Other columns are left out. An item without id counts as -1.
+    Whole texts are searched, however long; null and empty ones match nothing. Repeated documents give repeated rows, as
+    do repeated items; no items or no documents give no rows. Rows without doc_id are searched too. Other columns are
+    left out. An item without id counts as -1. Items of under LEAST_WORDS words match texts that are nothing else.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark, 500)
+    shared.small_batches(spark)
     rows = shared.spread(docs.select("doc_id", "text"))
     out = None
     for indexed in indexes(items, index_bytes):
@@ -291,9 +305,12 @@ def leaks(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) ->
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs, all columns, without the rows that leaks() finds."""
+    """docs, all columns, without the rows that leaks() finds.
+
+    Rows are independent: null ids and null texts stay, repeated rows stay or go together, no items leave all.
+    """
     spark = docs.sparkSession
-    shared.small_batches(spark, 500)
+    shared.small_batches(spark)
     for indexed in indexes(items, index_bytes):
         known = spark.sparkContext.broadcast(indexed)
 
