@@ -28,7 +28,8 @@ Rule = list[tuple[str, str, float]]
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and base_failed and rates.
 
-    Null texts count as empty: all counts are 0, and base_failed holds, as for each text of under 10 words. All other
+    Null texts count as empty: all counts are 0, and base_failed holds, as for each text of under 10 words. Whole texts
+    count, however long. Rows are independent: repeated ones have equal results, and no rows give none. All other
     columns stay; a column of one of these names is replaced.
     """
     chars = lambda found: (F.length("_text") - F.length(F.translate("_text", found, ""))).cast("long")

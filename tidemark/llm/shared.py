@@ -21,9 +21,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; only where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    """A new folder name under spark.checkpoint.dir. Only a local session, whose executors share the driver's disk, may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+    path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Folders that this driver has made and not removed.
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many folders there are now; see release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Removes the folders made since made() gave that number, but for the last ones. Only for when nothing that reads them will run again."""
+    gone = _made[since : len(_made) - last]
+    for path in gone:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        _made.remove(path)
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -66,9 +91,16 @@ def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of whole texts are kept short, as one text may have megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Rows of an Arrow batch, at most: one value for all operators, as plans read it when they run.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are kept short, as one text may have megabytes. This holds for the session from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

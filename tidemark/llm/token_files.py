@@ -1,6 +1,6 @@
 """Token ids in ORC: run-length encoded integers in stripes, row indexes, Bloom filters on document ids.
 
-Files are in ascending doc_id order (null ids first, repeated ids by text), so that stripe and row-group statistics
+Files are in ascending doc_id order (null ids first), so that stripe and row-group statistics
 prune by id and stripes can be read in parallel. A row keeps where its ids begin in its file; the start in the whole
 collection adds the ids of the files before.
 """
@@ -26,8 +26,9 @@ END = (0).to_bytes(4, "little")
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, stripe_mb: int = 16, index_rows: int = 1000, compress: str = "zstd") -> None:
     """Encodes docs (doc_id, text; other columns are left out) and writes them to path.
 
-    A null or empty text has the end id alone. Repeated rows are written as often as they come. No rows: a folder
-    without ids, which read() accepts.
+    A null or empty text has the end id alone; whole texts are encoded, however long. Repeated rows are written as
+    often as they come; rows of one id, or of none, may lie in several files. No rows: a folder without ids, which
+    read() accepts.
     """
     name = tokenizer or default_path()
     shared.small_batches(docs.sparkSession)
@@ -42,7 +43,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, stripe_mb: i
             at += int(ends[-1])
 
     # The range sort comes before the encoding: sampling for its bounds then encodes nothing.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash splits what rows of one id there are
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     (
         rows.mapInArrow(encode, FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
@@ -50,6 +52,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, stripe_mb: i
         .option("orc.row.index.stride", index_rows)
         .option("orc.stripe.size", stripe_mb << 20)
         .option("orc.compress", compress)
+        .option("maxRecordsPerFile", 0)  # a task writes one file, as file_start counts from its beginning
         .orc(path)
     )
 
