@@ -343,6 +343,32 @@ def test_one_labeler_alone_proves_nothing():
         assert post[0] < private_data.CERTAIN < post[2]
 
 
+def test_planted_data_without_base_patterns(spark):
+    """Recall and precision of added spans over documents with planted telephones, spelled-out addresses and names among lookalikes."""
+    rnd = random.Random(31)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    name = lambda: f"{rnd.choice(sorted(private_data.FIRST_NAMES))} {say(1).capitalize()}son"
+    rows, want = [], set()
+    for d in range(400):
+        kind = d % 8
+        hidden = {0: f"{rnd.randint(200, 999)}-555-{rnd.randint(1000, 9999)}", 1: f"{say(1)} at {say(1)}x dot com", 2: name(), 3: f"{rnd.randint(200, 999)}.{rnd.randint(200, 999)}.{rnd.randint(1000, 9999)}"}.get(kind, "")
+        lead = {0: "call ", 1: "write to ", 2: "my name is ", 3: "phone: "}.get(kind, "")
+        decoy = {4: "Green Hills", 5: "section 12-30 and 10-20", 6: "look at that dot there", 7: "The Valley"}.get(kind, "")
+        text = f"{say(12)} {lead}{hidden}{decoy} {say(12)}"
+        rows.append((d, text))
+        if hidden:
+            want.add((d, hidden))
+    got = {(r["doc_id"], dict(rows)[r["doc_id"]][s["start"] : s["end"]]) for r in private_data.found(table(spark, rows)).collect() for s in r["spans"]}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_the_classifier_uses_what_votes_do_not_say():
+    """Spans with equal votes part ways where their features go with other posteriors."""
+    rows = [(2, 1, 2, 1, 1, 2, 0), (1, 1, 1, 1, 1, 2, 0), (1, 1, 1, 1, 1, 1, 0), (0, 1, 1, 1, 1, 1, 0)]
+    p = private_data.classifier(np.array([[*r, 6] for r in rows]), np.array([0.95, 0.6, 0.05, 0.01]), np.array([500, 50, 800, 800]))
+    assert p[0] > 0.9 and p[1] > p[2] + 0.2 and p[3] < 0.05
+
+
 def test_em_finds_the_unreliable_labeler():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.5
@@ -534,6 +560,40 @@ def test_a_long_item_does_not_widen_the_passages_of_others(spark):
     assert [(r["item_id"], 96 <= r["first_word"] <= 120) for r in got] == [(1, True)]
 
 
+def _plain_bm25(items: list[str], passage: list[str], k1: float = 1.2, b: float = 0.75) -> list[float]:
+    """Of each item its score against a passage, as a share of its score against itself."""
+    bags = [Counter(t.split()) for t in items]
+    mean, df = sum(map(Counter.total, bags)) / len(bags), Counter(w for bag in bags for w in bag)
+    weight = lambda bag, w: np.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * bag[w] * (k1 + 1) / (bag[w] + k1 * (1 - b + b * bag.total() / mean))
+    return [sum(weight(bag, w) for w in bag if w in set(passage)) / sum(weight(bag, w) for w in bag) for bag in bags]
+
+
+def test_scores_against_a_plain_bm25():
+    rnd = random.Random(19)
+    vocabulary = [f"v{k}" for k in range(300)] + ["the", "of"] * 40
+    items = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(8, 30))) for _ in range(80)]
+    texts = [" ".join([*(rnd.choice(vocabulary) for _ in range(25)), *(w for w in items[k % 80].split() if rnd.random() < 0.92), *(rnd.choice(vocabulary) for _ in range(50))]) for k in range(160)]
+    got = {(d, i): score for d, i, score, *_ in decontamination.search(decontamination.index_of(list(range(80)), items), texts)}
+    for d, text in enumerate(texts):
+        inside = text.split()
+        best = np.max([_plain_bm25(items, inside[at : at + 64]) for at in range(0, len(inside), 32)], axis=0)
+        for i in range(80):
+            if (d, i) in got:
+                assert 0.5 - 1e-9 <= got[d, i] <= best[i] + 1e-9
+            else:
+                assert best[i] < 0.5 or d % 80 != i or sum(w in inside for w in items[i].split()) < 0.9 * len(items[i].split())
+    assert len(got) >= 140
+
+
+def test_short_items_and_odd_documents(spark):
+    items = spark.createDataFrame([(1, "Forty two."), (2, ITEM), (None, "forty two"), (3, "...")], "item_id long, text string")
+    docs = table(spark, [(1, "forty, TWO"), (2, "the answer is forty two"), (3, None), (4, ""), (5, f"{'w ' * 60_000}{ITEM} {'w ' * 60_000}"), (5, f"{'w ' * 60_000}{ITEM} {'w ' * 60_000}"), (None, "Forty two!")])
+    got = sorted(((r["doc_id"] or 0, r["item_id"]) for r in decontamination.leaks(docs, items).collect()))
+    assert got == [(0, -1), (0, 1), (1, -1), (1, 1), (5, 2), (5, 2)]
+    assert sorted(r["doc_id"] for r in decontamination.decontaminated(docs, items).collect()) == [2, 3, 4]
+    assert decontamination.leaks(docs, items.where("item_id = 1")).count() == 2
+
+
 def test_scattered_or_reordered_words_are_no_leak():
     index, inside = decontamination.index_of([1], [ITEM]), ITEM.split()
     apart = " ".join(f"{w} x y z u v" for w in inside[:6]) + " " + " ".join(inside[6:11])
@@ -631,6 +691,14 @@ def test_least_positions(values, width):
     assert repeats.least_positions(v, width).tolist() == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=12, max_size=90), st.integers(1, 12))
+def test_triggers(values, width):
+    windows = [values[i : i + width] for i in range(len(values) - width + 1)]
+    want = {i + k for i, w in enumerate(windows) for k in range(width) if w[k] == min(w)}
+    assert repeats.triggers(np.array(values, np.uint64) + np.uint64(1), width).tolist() == sorted(want)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=1, max_size=60), st.integers(1, 20))
 def test_suffix_ranks_are_in_order(values, length):
@@ -645,3 +713,27 @@ def test_slices_are_bounded(spark):
 
     batch = pa.RecordBatch.from_pydict({"text": ["aa", None, "b" * 50, "c"]})
     assert [p.num_rows for p in shared.sliced(batch, 10)] == [2, 1, 1]
+
+
+def test_folders_are_shared_and_removed(spark):
+    one = shared.stored(spark.range(5).toDF("n"))
+    since = shared.made()
+    two, three = shared.stored(one), shared.stored(one)
+    shared.release(spark, since, last=1)
+    assert shared.made() == since + 1 and three.count() == 5 and one.count() == 5
+    with pytest.raises(Exception, match="not exist|FAILED_READ"):
+        two.count()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert shared.shared_dir(Session).startswith("file://")
