@@ -46,6 +46,10 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _UP.upto(len(data)), dtype=np.uint64)])
 
+    def everywhere(self, length: int) -> np.ndarray:
+        """Of all strings of a length, not mixed: high places depend on all bytes, which is enough for an order."""
+        return (self.sums[length:] - self.sums[:-length]) * _DOWN.upto(len(self.sums))[: len(self.sums) - length]
+
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return words.mix((self.sums[start + length] - self.sums[start]) * _DOWN.upto(len(self.sums))[start])
 
@@ -73,9 +77,7 @@ def parse_phrases(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
     if len(data) < max(span, seed + gap - 1):
         return none, none, np.zeros(0, np.uint64)
     rolling = Rolling(data)
-    hashes = rolling.of(np.arange(len(data) - seed + 1), seed)
-    place = least_positions(hashes, gap)
-    at = place[np.concatenate([[True], place[1:] != place[:-1]])]
+    at = triggers(rolling.everywhere(seed), gap)
     last = np.searchsorted(at, at + span - seed)
     start, end = at[last < len(at)], at[last[last < len(at)]] + seed
     return start, end, words.mix(rolling.of(start, end - start) + (end - start).astype(np.uint64))
@@ -127,6 +129,19 @@ def split(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return shared.stored(exchange.matched(docs, exchange.answered(docs, keys_of, into), cut, SPLIT))
 
 
+def triggers(values: np.ndarray, width: int) -> np.ndarray:
+    """Positions that have the least value of some window of width values, all of equals."""
+    least, span = values, 1
+    while span < width:
+        step = min(span, width - span)
+        least, span = np.minimum(least[: len(least) - step], least[step:]), span + step
+    most, span = np.concatenate([np.zeros(width - 1, values.dtype), least, np.zeros(width - 1, values.dtype)]), 1
+    while span < width:
+        step = min(span, width - span)
+        most, span = np.maximum(most[: len(most) - step], most[step:]), span + step
+    return np.flatnonzero(most == values)
+
+
 def phrases(data: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER) -> tuple | None:
     """The triggers of all strings of length bytes (positions, hashes), and the first start and the number of the strings of each."""
     if len(data) < length:
@@ -194,8 +209,8 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     """Places of all strings of length bytes in their order, equal ones sharing a place: a suffix array's ranks.
 
-    By prefix doubling from eight bytes on: strings of twice the length are ranked by the ranks of their halves, so no
-    hash is involved.
+    From eight bytes on, longer strings are ranked by the ranks of their parts, as many as fit a number: two at least,
+    so spans double or triple, and no hash is involved.
     """
     span = min(8, length)
     n = len(data) - span + 1
@@ -203,10 +218,15 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     for k in range(span if n > 0 else 0):
         heads = (heads << np.uint64(8)) | data[k : k + n]
     ranks = np.unique(heads, return_inverse=True)[1].astype(np.int64)
+    bits = max(1, len(data).bit_length())
     while span < length:
-        step = min(span, length - span)  # the last halves overlap
-        pairs = ranks[: len(ranks) - step] * np.int64(len(data) + 256) + ranks[step:]
-        ranks, span = np.unique(pairs, return_inverse=True)[1], span + step
+        parts = min(max(2, 63 // bits), -(-length // span))
+        wide = min(length, parts * span)
+        steps = [min(k * span, wide - span) for k in range(parts)]  # the last parts may overlap
+        n, tuples = len(data) - wide + 1, np.int64(0)
+        for step in steps:
+            tuples = (tuples << np.int64(bits)) | ranks[step : step + max(n, 0)]
+        ranks, span = np.unique(tuples, return_inverse=True)[1].astype(np.int64), wide
     return ranks
 
 
@@ -325,7 +345,7 @@ def removed(docs: DataFrame, length: int = LENGTH, task_phrases: int = TASK_PHRA
     a doc_id or have none: each is judged by its own text. Kept bytes may end inside a character. Other columns are left
     out. No rows give no rows. Passages shorter than length that other documents have too are reported, not removed.
     """
-    shared.small_batches(docs.sparkSession, 500)
+    shared.small_batches(docs.sparkSession)
     rows = split(docs, length)
     suspects = rows.where("bounds is not null")
     spans = repeated(suspects.select("doc", "data", "bounds"), length, task_phrases)
