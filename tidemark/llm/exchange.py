@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shared
@@ -64,7 +64,7 @@ Block = tuple[int, list, list[bytes]]
 def in_blocks(docs: DataFrame, fn: Callable[[int, list, list[bytes]], pa.RecordBatch | None], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """fn(number, doc_ids, texts) of every block of docs (doc_id, text); a longer text is a block of its own.
 
-    A second pass over the same table cuts the same blocks; matched() makes sure of it.
+    doc_id is a number, or a struct of some, which comes as a dict. A second pass over the same table cuts the same blocks; matched() makes sure of it.
     """
     shared.small_batches(docs.sparkSession)
 
@@ -74,7 +74,16 @@ def in_blocks(docs: DataFrame, fn: Callable[[int, list, list[bytes]], pa.RecordB
             if out is not None and out.num_rows:
                 yield out
 
-    return shared.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+    return shared.spread(docs.select(_id(docs), "text")).mapInArrow(run, schema)
+
+
+def _id(docs: DataFrame) -> Column:
+    return F.col("doc_id") if _id_type(docs) != "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+
+
+def _id_type(docs: DataFrame) -> str:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return kind if kind.startswith("struct") else "bigint"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
@@ -134,16 +143,18 @@ def answered(docs: DataFrame, keys_of: Callable[[list[bytes]], tuple[np.ndarray,
     return in_blocks(docs, ask, ASKED, block_bytes).groupBy("part").applyInArrow(add, ANSWERED)
 
 
-TEXTS = "block long, mark long, doc_ids array<long>, size long, packed binary"
+TEXTS = "block long, mark long, doc_ids array<{id}>, size long, packed binary"
 
 
 def matched(docs: DataFrame, answers: DataFrame, fn: Callable[[int, list, list[bytes], np.ndarray], pa.Table], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """fn(number, doc_ids, texts, counts) of every block; counts are in the order of the block's distinct keys."""
 
+    structs = _id_type(docs) != "bigint"
+
     def pack(number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         whole = np.array([len(texts), *map(len, texts)], "<i8").tobytes() + b"".join(texts)
         columns = [[number], [mark(ids, texts)], [ids], [len(whole)], [pa.compress(whole, codec="zstd", asbytes=True)]]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.int64(), None if structs else pa.list_(pa.int64()), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in TEXTS.split(", ")])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -158,5 +169,5 @@ def matched(docs: DataFrame, answers: DataFrame, fn: Callable[[int, list, list[b
         counts = np.concatenate([np.zeros(0, np.uint64), *[unpacked(s, k) for _, s, k in answer]])
         return fn(row["block"], row["doc_ids"], texts, counts.astype(np.int64))
 
-    texts = in_blocks(docs, pack, TEXTS, block_bytes)
+    texts = in_blocks(docs, pack, TEXTS.format(id=_id_type(docs)), block_bytes)
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)

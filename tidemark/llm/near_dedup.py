@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import shared, words
+from tidemark.llm import exchange, shared, words
 from tidemark.llm.components import components
 
 SLOTS, BANDS = 128, 32
-#: Counters that order shingles by rareness: a fixed number, whatever the corpus. Any order gives the same links.
-CELLS = 1 << 17
 _ROUND = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 56) - 1)
 
@@ -127,14 +125,14 @@ def _step(n: np.ndarray | float) -> np.ndarray:
 
 
 def _prefixes(values: np.ndarray, rareness: np.ndarray, percent: int) -> tuple:
-    """The rarest shingles that a set must share with another one, as (key, place, role) arrays.
+    """The rarest shingles that a set must share with another one, as (key, place, role) arrays. Any order gives the same links.
 
     As the smaller of two sets a set shares one of its first n - 2 t n / (1 + t) + 1, as the larger one of its first
     n - t n + 1. Keys hold the shingle and the smaller set's size step; a larger set asks all steps that its shingle's
     place leaves possible, so sets that cannot be similar never meet.
     """
     n, t = len(values), percent / 100
-    order = np.lexsort((values, rareness[(values % np.uint64(CELLS)).astype(np.int64)]))
+    order = np.lexsort((values, rareness))
     ranked = values[order]
     small = ranked[: n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1]
     keys, places, roles = [words.mix(small + _round(int(_step(n)) + 1))], [np.arange(len(small))], [np.zeros(len(small), np.int64)]
@@ -152,38 +150,29 @@ def _prefixes(values: np.ndarray, rareness: np.ndarray, percent: int) -> tuple:
 
 def residual_pairs(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) among nodes (doc_id, component) of different components that may be similar enough; none is missed."""
-    spark = nodes.sparkSession
-    texts = shared.stored(docs.select("doc_id", "text").where("text is not null").join(nodes, "doc_id"))
-
-    def count(batches):
-        cells = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
-            for piece in shared.sliced(batch):
-                values, _ = _sets(shared.texts_of(piece), size)
-                cells += np.bincount((values % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        hit = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(cells[hit])], ["cell", "n"])
-
-    rareness = np.zeros(CELLS, dtype=np.int64)
-    counted = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    rareness[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    known = spark.sparkContext.broadcast(rareness)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, bounds = _sets(shared.texts_of(batch), size)
-        ids, groups = batch.column("doc_id").to_pylist(), batch.column("component").to_pylist()
-        rows = []
-        for k, (doc, group) in enumerate(zip(ids, groups, strict=True)):
-            own = values[bounds[k] : bounds[k + 1]]
-            if len(own):
-                key, place, role = _prefixes(own, known.value, percent)
-                rows.append((key, place, role, np.full(len(key), doc), np.full(len(key), group), np.full(len(key), len(own))))
-        if not rows:
-            return None
-        key, *others = (np.concatenate(c) for c in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[pa.array(c, pa.int64()) for c in others]], ["key", "place", "role", "doc_id", "component", "n"])
-
-    rows = shared.stored(shared.arrow_rows(texts, run, "key long, place long, role long, doc_id long, component long, n long"))
+    texts = docs.select("doc_id", "text").where("text is not null").join(nodes, "doc_id")
+    texts = shared.stored(texts.select(F.struct(F.col("doc_id").cast("long").alias("doc"), "component").alias("doc_id"), "text"))
+    into = exchange.space(texts)
+
+    def keys_of(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(into.cut(_sets([t.decode() for t in some], size)[0]), return_counts=True)
+
+    def prefixes(_: int, ids: list, some: list[bytes], counts: np.ndarray) -> pa.Table:
+        values, bounds = _sets([t.decode() for t in some], size)
+        cut = into.cut(values)
+        rareness, rows = counts[np.searchsorted(np.unique(cut), cut)], []
+        for k, own in enumerate(ids):
+            here = slice(bounds[k], bounds[k + 1])
+            n = bounds[k + 1] - bounds[k]
+            if n:
+                key, place, role = _prefixes(values[here], rareness[here], percent)
+                rows.append((key.view(np.int64), place, role, np.full(len(key), own["doc"]), np.full(len(key), own["component"]), np.full(len(key), n)))
+        columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 6
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["key", "place", "role", "doc_id", "component", "n"])
+
+    # How many of the nodes have a shingle is counted exactly, at any size, so rare shingles are known to be rare.
+    answers = exchange.answered(texts, keys_of, into)
+    rows = shared.stored(exchange.matched(texts, answers, prefixes, "key long, place long, role long, doc_id long, component long, n long"))
     side = lambda role, p: rows.where(F.col("role") == role).select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("place", "doc_id", "component", "n")])
     needed = F.lit(percent / (100 + percent)) * (F.col("s_n") + F.col("l_n"))
     fits = (F.col("s_component") != F.col("l_component")) & (F.col("s_n") <= F.col("l_n")) & (F.least(F.col("s_n") - F.col("s_place"), F.col("l_n") - F.col("l_place")) + 1e-6 >= needed)
