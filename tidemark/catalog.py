@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -22,6 +22,8 @@ HOLIDAY, SPECIAL = dt.date(2024, 1, 26), dt.date(2024, 1, 20)
 FIRST, LAST = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
 AS_OF = dt.datetime(2024, 1, 18, 12, 7)
 TODAY = dt.date(2024, 1, 29)
+#: Beyond the last event: days on which the feed has not started.
+LATER = dt.date(2024, 2, 29)
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -336,9 +338,103 @@ def _(spark, d):
     return trading_days.lookback_start(spark, calendar(spark), TODAY, 15, 3600)
 
 
-@query("next_open", "SELECT TIMESTAMP '2024-01-29 09:15:00' AS opens_at, CAST(3 * 86400 - 27900 + 0 AS DOUBLE) AS seconds")
+#: A moment on the evening before the special session.
+EVENING = dt.datetime(2024, 1, 19, 17, 0)
+
+
+def _opening(secs: int) -> str:
+    return f"SELECT min(opens) AS opens_at, CAST(epoch(min(opens) - TIMESTAMP '{EVENING}') AS DOUBLE) AS seconds FROM (SELECT d + INTERVAL {secs} SECOND AS opens FROM generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LATER}', INTERVAL 1 DAY) AS g(d) WHERE {_trades('d')}) WHERE opens > TIMESTAMP '{EVENING}'"
+
+
+@query("next_open", _opening(33_300))
+def _(spark, d):
+    return trading_days.next_open(spark, calendar(spark), EVENING)
+
+
+@query("pre_connect_wait", _opening(33_240))
+def _(spark, d):
+    return trading_days.seconds_until_pre_connect(spark, calendar(spark), EVENING)
+
+
+@query("calendar_refresh", f"SELECT DATE '{SPECIAL}' AS d, 'special_open' AS kind UNION SELECT DISTINCT CAST(ts AS DATE), 'holiday' FROM events WHERE CAST(ts AS DATE) >= DATE '{AS_OF.date()}'")
+def _(spark, d):
+    fetched = events(spark, d).select(F.col("ts").cast("date").alias("d"))
+    return trading_days.refreshed(calendar(spark), fetched, AS_OF.date())
+
+
+# ---- feeds and stored tables of other shapes
+
+
+def _epoch_ms() -> Column:
+    return F.unix_millis(F.col("ts").cast("timestamp"))
+
+
+IST_MS = "CAST(date_trunc('millisecond', ts) AS TIMESTAMP) + INTERVAL 330 MINUTE"
+
+
+@query("typed_ticks", f"SELECT event_type AS symbol, {IST_MS} AS ts, value AS ltp, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE CAST(user_id AS DOUBLE) END AS qty, event_id AS seq FROM events WHERE event_id % 10 <> 3")
+def _(spark, d):
+    """A table in which each tenth price and each fourth quantity is missing."""
+    some = lambda c, gone: F.when(~gone, F.col(c))
+    rows = events(spark, d).select(F.col("event_type").alias("symbol"), _epoch_ms().alias("timestamp"), F.col("event_id").alias("ingest_ns"), some("value", F.col("event_id") % 10 == 3).alias("ltp"), some("user_id", F.col("event_id") % 4 == 0).alias("last_quantity"))
+    return files.typed_ticks(rows)
+
+
+@query("json_ticks", f"SELECT event_type AS symbol, {IST_MS} AS ts, value AS ltp, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE CAST(user_id AS DOUBLE) END AS qty, event_id AS seq FROM events WHERE event_id % 10 <> 3")
+def _(spark, d):
+    """Raw rows of which each tenth has no number for a price, and each fourth no quantity."""
+    price = F.when(F.col("event_id") % 10 == 3, "none").otherwise(F.col("value").cast("string"))
+    raw = F.to_json(F.struct(price.alias("ltp"), F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("last_trade_quantity")))
+    return files.json_ticks(events(spark, d).select(F.col("event_type").alias("symbol"), _epoch_ms().alias("timestamp"), F.col("event_id").alias("ingest_ns"), raw.alias("raw_json")))
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Feed messages: with a symbol of their own, with that of their envelope, without price, of another type, errors, broken ones."""
+    kind = F.col("event_id") % 6
+    data = F.struct(
+        F.when(kind == 0, F.concat(F.lit("nse:"), "event_type")).alias("symbol"), F.when(kind != 2, F.col("value")).alias("ltp"),
+        _epoch_ms().alias("ltt"), F.when(kind == 1, F.col("user_id").cast("double")).alias("last_trade_quantity"),
+    )
+    envelope = F.struct(F.when(kind == 3, "order").otherwise("market_data").alias("type"), F.when(kind == 4, "error").alias("status"), F.concat(F.lit(" "), "event_type").alias("symbol"), F.when(kind != 4, data).alias("data"))
+    raw = F.to_json(envelope)
+    return events(spark, d).select("event_id", F.when(kind == 5, F.substring(raw, 1, 30)).otherwise(raw).alias("value"))
+
+
+@query("quote_messages", f"SELECT upper(event_type) AS symbol, {IST_MS} AS ts, value AS ltp, CASE event_id % 6 WHEN 1 THEN CAST(user_id AS DOUBLE) ELSE 0.0 END AS qty, event_id AS seq FROM events WHERE event_id % 6 < 2")
+def _(spark, d):
+    return files.quote_messages(_messages(spark, d), seq="event_id")
+
+
+@query("feed_errors", "SELECT count(*) AS n FROM events WHERE event_id % 6 = 4")
 def _(spark, d):
-    return trading_days.next_open(spark, calendar(spark), dt.datetime(2024, 1, 26, 17, 0))
+    return files.feed_errors(_messages(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query("history_candles", f"WITH {_bars('15m')} SELECT symbol, tf, ts + INTERVAL 330 MINUTE AS ts, open, high, low, close, volume FROM bars")
+def _(spark, d):
+    rows = bars(spark, d, "15m")
+    raw = F.to_json(F.struct(F.col("tf").alias("interval"), "open", "high", "low", "close", "volume"))
+    return files.history_candles(rows.select("symbol", _epoch_ms().alias("timestamp"), raw.alias("raw_json"))).select(*candles.CANDLE_COLUMNS)
+
+
+@query("instruments_by_exchange", "SELECT r_name AS exchange, string_agg(n_name, ',' ORDER BY n_nationkey) AS symbols FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def _(spark, d):
+    nation, region = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
+    listed = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    return files.by_exchange(listed.select(F.col("r_name").alias("exchange"), F.col("n_name").alias("symbol"), F.col("n_nationkey").alias("position")))
+
+
+@query("date_forms", "SELECT event_id AS seq, CASE WHEN event_id % 4 < 3 THEN CAST(ts AS DATE) END AS d FROM events")
+def _(spark, d):
+    """Dates in three forms, and texts that are none."""
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.date_format("ts", "dd-MMM-yyyy")).when(kind == 1, F.date_format("ts", " yyyy-MM-dd ")).when(kind == 2, F.date_format("ts", "dd/MM/yyyy")).otherwise(F.date_format("ts", "yyyy.MM.dd"))
+    return events(spark, d).select(F.col("event_id").alias("seq"), scalars.any_date(text).alias("d"))
+
+
+@query("mode_labels", "SELECT event_id AS seq, upper(event_type[1]) || lower(event_type[2:]) AS mode FROM events")
+def _(spark, d):
+    return events(spark, d).select(F.col("event_id").alias("seq"), scalars.mode_label(F.concat(F.lit("  "), F.upper("event_type"), F.lit(" "))).alias("mode"))
 
 
 # ---- indicators
@@ -377,6 +473,11 @@ def _(spark, d):
     return _adx(spark, d).select("symbol", "tf", "ts", *[F.round(c, 6).alias(c) for c in ("plus_di", "minus_di", "dx", "value")], "ready")
 
 
+@query("adx_latest", f"{ADX} SELECT symbol, tf, round(value, 6) AS value FROM adx QUALIFY row_number() OVER (PARTITION BY symbol, tf ORDER BY ts DESC) = 1")
+def _(spark, d):
+    return indicators.latest_value(_adx(spark, d)).select("symbol", "tf", F.round("value", 6).alias("value"))
+
+
 @query("adx_last3", f"{ADX}, k AS (SELECT symbol, tf, value, row_number() OVER (PARTITION BY symbol, tf ORDER BY ts DESC) AS n FROM adx WHERE ready AND value IS NOT NULL) SELECT symbol, tf, round(max(CASE WHEN n = 3 THEN value END), 6) AS v1, round(max(CASE WHEN n = 2 THEN value END), 6) AS v2, round(max(CASE WHEN n = 1 THEN value END), 6) AS v3 FROM (SELECT DISTINCT symbol, tf FROM adx) LEFT JOIN k USING (symbol, tf) GROUP BY symbol, tf")
 def _(spark, d):
     rows = indicators.last_values(_adx(spark, d), 3)
@@ -480,13 +581,16 @@ def _(spark, d):
     return depth.best(_books(spark, d))
 
 
-@query("depth_history", f"WITH {BOOKS} SELECT symbol, ts_ms, ltp FROM books QUALIFY ts_ms >= max(ts_ms) OVER (PARTITION BY symbol) - 86400000")
+@query("depth_log", f"WITH {BOOKS} SELECT symbol, ts_ms, ltp, bid, ask FROM books")
 def _(spark, d):
-    return depth.history(_books(spark, d), 86_400).select("symbol", "ts_ms", "ltp")
+    """Prices read back from the log's JSON."""
+    price = lambda side: scalars.json_number("raw_json", f"$.{side}[0].price")
+    return depth.log_rows(_books(spark, d)).select("symbol", "ts_ms", "ltp", price("bids").alias("bid"), price("asks").alias("ask"))
 
 
-#: Days after the last event, on which the feed has not started.
-LATER = dt.date(2024, 2, 29)
+@query("depth_history", f"WITH {BOOKS} SELECT symbol, ts_ms, ltp FROM books QUALIFY ts_ms >= max(ts_ms) OVER (PARTITION BY symbol) - 86400000")
+def _(spark, d):
+    return depth.history(_books(spark, d), 86_400).select("symbol", "ts_ms", "ltp")
 
 
 def _connections(spark: SparkSession, d: str) -> DataFrame:
@@ -504,6 +608,11 @@ def _(spark, d):
     return connections.classified(_connections(spark, d)).select("event_id", "ts_ms", "day", "event")
 
 
+@query("connections_of_day", f"WITH {LOG} SELECT event_id, ts_ms, day, event FROM log WHERE day = DATE '{AS_OF.date()}'")
+def _(spark, d):
+    return connections.of_day(_connections(spark, d), AS_OF.date()).select("event_id", "ts_ms", "day", "event")
+
+
 @query("day_not_started", f"WITH {LOG} SELECT 'DAY_NOT_STARTED' AS event, CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LATER}', INTERVAL 1 DAY) AS g(d) WHERE {_trades('d')} AND CAST(d AS DATE) NOT IN (SELECT day FROM log)")
 def _(spark, d):
     return connections.not_started(trading_days.trading_days(spark, calendar(spark), FIRST, LATER), _connections(spark, d))
