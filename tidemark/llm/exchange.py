@@ -74,7 +74,15 @@ def in_blocks(docs: DataFrame, fn: Callable[[int, list, list[bytes]], pa.RecordB
             if out is not None and out.num_rows:
                 yield out
 
-    return shared.spread(docs.select(_id(docs), "text")).mapInArrow(run, schema)
+    return _steady(docs.select(_id(docs), "text")).mapInArrow(run, schema)
+
+
+def _steady(docs: DataFrame) -> DataFrame:
+    """docs with rows in the same order each time: files are, what comes from other tasks is not until it is sorted."""
+    docs = shared.spread(docs)
+    if "Exchange" not in docs._jdf.queryExecution().executedPlan().toString():
+        return docs
+    return docs.sortWithinPartitions(F.xxhash64("text"), "doc_id")
 
 
 def _id(docs: DataFrame) -> Column:
