@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -277,6 +278,16 @@ def test_registered_scores_tell_odd_text_from_usual_one(spark, tmp_path):
     assert min(got, key=lambda r: r["mean_score"])["doc_id"] == 99 and max(got, key=lambda r: r["n_backoffs"])["doc_id"] == 99
 
 
+def test_blocks_do_not_follow_the_order_of_arrival(spark, tmp_path):
+    rnd = random.Random(51)
+    rows = [(k, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 40)))) for k in range(3000)]
+    table(spark, rows).repartition(13).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    marks = lambda docs: exchange.in_blocks(docs, lambda number, ids, texts: pa.RecordBatch.from_pydict({"number": [number], "mark": [exchange.mark(ids, texts)]}), "number long, mark long", 500)
+    for docs in (stored.repartition(5), stored.coalesce(2), stored.repartition(7, "text"), stored):
+        assert len({tuple(sorted(map(tuple, marks(docs).collect()))) for _ in range(4)}) == 1
+
+
 def test_a_changed_block_is_noticed(spark):
     docs = table(spark, [(1, "a b c"), (2, "d e f")])
     into = exchange.space(docs)
@@ -709,8 +720,6 @@ def test_suffix_ranks_are_in_order(values, length):
 
 
 def test_slices_are_bounded(spark):
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_pydict({"text": ["aa", None, "b" * 50, "c"]})
     assert [p.num_rows for p in shared.sliced(batch, 10)] == [2, 1, 1]
 
