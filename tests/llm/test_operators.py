@@ -240,6 +240,29 @@ def test_packing(spark, window):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_token_files_are_pruned(spark, tmp_path):
+    """A lookup by id reads the row groups that may hold it: others are skipped by statistics and Bloom filters."""
+    import pyarrow.orc as orc
+
+    rows = [(3 * d, f"text number {d} " * 20) for d in range(20_000)]
+    path = str(tmp_path / "tokens")
+    token_files.write(table(spark, rows), path, stripe_mb=1, index_rows=1000)
+    files = sorted({r["file"] for r in token_files.read(spark, path).select("file").distinct().collect()})
+    assert sum(orc.ORCFile(f"{path}/{f}").nstripes for f in files) >= len(files) and sum(orc.ORCFile(f"{path}/{f}").nrows for f in files) == 20_000
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def rows_read(wanted: int) -> int:
+        done = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList()).size()
+        got = token_files.read(spark, path).where(F.col("doc_id") == wanted).collect()
+        assert len(got) == (wanted % 3 == 0)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).inputRecords() for k in range(stages.size() - done))
+
+    assert 0 < rows_read(30_000) <= 3000  # by statistics of stripes and row groups
+    assert rows_read(30_001) == 0 or rows_read(30_004) == 0  # inside their range; the Bloom filter has neither
+
+
 # ---- scores
 
 
