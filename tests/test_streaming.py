@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 from tests.helpers import sf_dir
 from tidemark import catalog
+from tidemark.config import EngineConfig
 from tidemark.operators import candles, signals
 from tidemark.sources import files
 from tidemark.streaming import flows, live
@@ -81,6 +82,22 @@ def test_backfill_beside_the_stream_gives_the_batch(spark, tmp_path):
     assert {tuple(r) for r in live.candles(spark, path).collect()} == want
 
 
+def test_both_feeds(spark, tmp_path):
+    for name in ("quotes", "depth"):
+        (tmp_path / name).mkdir()
+    ms = lambda m: 1704254400000 + m * 60_000
+    quotes = [{"type": "market_data", "data": {"symbol": "NSE:A", "ltp": 5.0 + m, "ltt": ms(m), "last_trade_quantity": 1}} for m in range(20)]
+    (tmp_path / "quotes/a.txt").write_text("\n".join(map(json.dumps, quotes)))
+    books = [{"type": "market_data", "data": {"symbol": "A", "ltt": ms(m), "bids": [{"price": 1.0 + m, "quantity": 1}]}} for m in range(3)]
+    (tmp_path / "depth/a.txt").write_text("\n".join(map(json.dumps, books)))
+    seen = []
+    for q in live.feeds(spark, EngineConfig(), str(tmp_path / "quotes"), str(tmp_path / "depth"), str(tmp_path / "out"), every=None, also=[lambda df: seen.append(df.count())]):
+        q.awaitTermination()
+    got = {(r["tf"], r["ts"].minute): (r["open"], r["close"], r["volume"]) for r in files.candle_table(spark, str(tmp_path / "out/candles")).collect()}
+    assert got["1m", 40] == (15.0, 15.0, 1.0) and got["5m", 35] == (10.0, 14.0, 5.0) and sum(seen) == len(got)
+    assert spark.read.parquet(str(tmp_path / "out/depth")).count() == 3
+
+
 def test_when_the_feed_starts(spark):
     days = catalog.calendar(spark)
     at = lambda d, h, m, s=0: live.plan(spark, days, dt.datetime(2024, 1, d, h, m, s))

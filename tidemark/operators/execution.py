@@ -55,9 +55,9 @@ def first_hits(signals: DataFrame, ticks: DataFrame) -> DataFrame:
     # Slices of a lower level come before all later ones of a higher level.
     place = later.groupBy(*key, "side", "stop").agg(F.min(F.struct("level", "slice")).alias("p")).select(*key, "side", "stop", "p.level", "p.slice")
     for level in reversed(range(1, len(SLICES))):
-        inside = place.where(F.col("level") == level).select(*key, "side", "stop", F.col("slice").alias("parent"))
-        children = extremes.where(F.col("level") == level - 1).select("symbol", "parent", "slice", "lo", "hi")
-        first = inside.join(children, ["symbol", "parent"]).where(reach).groupBy(*key, "side", "stop").agg(F.min("slice").alias("slice"))
+        # The level is part of the key, no filter, so that all joins read one shuffle of the extremes.
+        inside = place.where(F.col("level") == level).select(*key, "side", "stop", (F.col("level") - 1).alias("level"), F.col("slice").alias("parent"))
+        first = inside.join(extremes, ["symbol", "level", "parent"]).where(reach).groupBy(*key, "side", "stop").agg(F.min("slice").alias("slice"))
         place = place.where(F.col("level") < level).unionByName(first.withColumn("level", F.lit(level - 1)))
     hours = keyed.select(*key, "side", "stop", own(0).alias("slice")).unionByName(place.drop("level"))
     hit = scalars.stop_hit("side", "x_price", "stop") & (F.struct("x_ts", "x_seq") > F.struct("ts", "seq"))

@@ -5,7 +5,7 @@ Event times of streams are TIMESTAMP in a UTC session and hold IST wall clock, a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,20 +55,30 @@ def latest_stream(tick_stream: DataFrame) -> DataFrame:
     return tick_stream.groupBy("symbol").agg(F.max_by("ltp", "seq").alias("ltp"))
 
 
-def upsert_candles(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a candle table up to date. A batch that is run again after a failure writes the same partitions again."""
+def _trigger(every: str | None) -> dict:
+    """Without an interval what is there is worked off, and the query ends."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def upsert_candles(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, also: Iterable[Callable[[DataFrame], None]] = ()) -> StreamingQuery:
+    """Keeps a candle table up to date, and gives each batch to other sinks too.
+
+    A batch that is run again after a failure writes the same partitions again; other sinks see it again.
+    """
 
     def save(batch: DataFrame, _: int) -> None:
-        sinks.upsert_candles(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")), path)
+        rows = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        for sink in (lambda df: sinks.upsert_candles(df, path), *also):
+            sink(rows)
 
-    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
-def append_depth(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_depth(raw: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     from tidemark.operators import depth
 
     rows = depth.log_rows(files.depth_messages(raw))
-    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
 def first_signals(signal_stream: DataFrame, delay: str = "10 minutes") -> DataFrame:

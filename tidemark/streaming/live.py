@@ -7,7 +7,7 @@ read together, the stream's candle stays where both have one.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from tidemark.config import EngineConfig
 from tidemark.functions import trading_days
 from tidemark.operators import connections, merging
 from tidemark.sources import files, sinks
+from tidemark.streaming import flows
 
 #: Seconds before the open at which it is too late to wait for a backfill, and at which the feed starts otherwise.
 PARALLEL_SECONDS, LEAD_SECONDS = 60, 30
@@ -50,6 +52,20 @@ def run(start: Start, backfill: Callable[[], DataFrame], feed: Callable[[], Stre
     return feed(), done
 
 
+def feeds(spark: SparkSession, config: EngineConfig, quotes: str, depth: str, root: str, calendar: DataFrame | None = None, every: str | None = "1 second", also: Iterable[Callable[[DataFrame], None]] = ()) -> list[StreamingQuery]:
+    """Starts both feeds: candles of the quotes that land in one folder, books of those in another, under root.
+
+    The queue limits of config bound the files of a batch. Each query has its own checkpoint, so one that fails is started
+    again by itself. every=None works off what has landed.
+    """
+    limits = config.queue_limits
+    bars = flows.candle_stream(flows.ticks(flows.messages(spark, quotes, limits["quote"])), config.timeframes, calendar=calendar)
+    return [
+        flows.upsert_candles(bars, f"{root}/candles", f"{root}/checkpoints/candles", every, also),
+        flows.append_depth(flows.messages(spark, depth, limits["depth"]), f"{root}/depth", f"{root}/checkpoints/depth", every),
+    ]
+
+
 def backfill_path(path: str) -> str:
     return f"{path.rstrip('/')}_backfill"
 
