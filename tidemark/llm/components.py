@@ -15,7 +15,7 @@ from tidemark.llm import shared
 def components(edges: DataFrame) -> DataFrame:
     """node, component: for every node with an edge (a, b), the least node that can be reached from it."""
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links, mark = shared.stored(links), None
+    links, mark = shared.stored(links, narrow=8), None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -26,6 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = shared.stored(small.union(least).distinct())
+        links = shared.stored(small.union(least).distinct(), narrow=8)
     roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -188,10 +188,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     base = sketched(docs, size)
     sets = base.where("bands is not null and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    sets = shared.stored(sets)
+    sets = shared.stored(sets, narrow=4)
     buckets = sets.select("rep", F.explode("bands").alias("bucket"))
     pivots = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).where("_most > a").drop("_most")
-    members = shared.stored(buckets.join(pivots, "bucket"))
+    members = shared.stored(buckets.join(pivots, "bucket"), narrow=4)
     pairs = members.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     first = verified(pairs, docs, size, percent)
     found = components(first)
@@ -202,7 +202,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     known = placed(members.select("bucket", "rep"), "rep", found)
     mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     nodes = known.join(mixed, "bucket", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.min("component").alias("component"))
-    more = verified(residual_pairs(shared.stored(nodes), docs, size, percent), docs, size, percent)
+    more = verified(residual_pairs(shared.stored(nodes, narrow=8), docs, size, percent), docs, size, percent)
     # Groups found so far act as single nodes.
     again = components(more.union(found.select(F.col("component"), F.col("node"))).toDF("a", "b"))
     reps = placed(sets.select("set_a", "set_b", "rep"), "rep", again).select("set_a", "set_b", F.col("component").alias("component_id"))
@@ -215,7 +215,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, with one document of each group: the one with the least doc_id. Of rows with one doc_id one stays."""
-    judged = shared.stored(groups(docs, size, percent))
+    judged = shared.stored(groups(docs, size, percent), narrow=4)
     gone = judged.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     if judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():

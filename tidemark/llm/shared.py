@@ -51,10 +51,16 @@ def release(spark: SparkSession, since: int = 0, last: int = 0) -> None:
         _made.remove(path)
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, codec: str = "zstd", narrow: int = 1) -> DataFrame:
+    """df written once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    narrow: of how many shuffle partitions one task writes a file. They are sized for texts; tables of a few numbers a row
+    would be so many tiny files, each of which costs a shared file system several calls.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if narrow > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // narrow))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
