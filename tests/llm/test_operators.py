@@ -91,7 +91,6 @@ def test_groups_without_rows_ids_or_with_repeats(spark):
 
 def test_prefixes_lose_no_pair():
     rnd = random.Random(3)
-    zero = np.zeros(near_dedup.CELLS, np.int64)
     for _ in range(300):
         n = rnd.randint(1, 60)
         a = {rnd.randrange(1 << 40) for _ in range(n)}
@@ -99,8 +98,8 @@ def test_prefixes_lose_no_pair():
         if 100 * len(a & b) < 80 * len(a | b):
             continue
         small, large = sorted((a, b), key=len)
-        ks, ps, rs = near_dedup._prefixes(np.array(sorted(small), np.uint64), zero, 80)
-        kl, pl, rl = near_dedup._prefixes(np.array(sorted(large), np.uint64), zero, 80)
+        ks, ps, rs = near_dedup._prefixes(np.array(sorted(small), np.uint64), np.array([x % 7 for x in sorted(small)]), 80)
+        kl, pl, rl = near_dedup._prefixes(np.array(sorted(large), np.uint64), np.array([x % 7 for x in sorted(large)]), 80)
         shared_keys = [(i, j) for i in np.flatnonzero(rs == 0) for j in np.flatnonzero(rl == 1) if ks[i] == kl[j]]
         assert any(min(len(small) - ps[i], len(large) - pl[j]) + 1e-6 >= 80 / 180 * (len(a) + len(b)) for i, j in shared_keys)
 
