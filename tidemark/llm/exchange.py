@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm import shared
 
@@ -157,12 +158,12 @@ TEXTS = "block long, mark long, doc_ids array<{id}>, size long, packed binary"
 def matched(docs: DataFrame, answers: DataFrame, fn: Callable[[int, list, list[bytes], np.ndarray], pa.Table], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """fn(number, doc_ids, texts, counts) of every block; counts are in the order of the block's distinct keys."""
 
-    structs = _id_type(docs) != "bigint"
+    kind = pa.int64() if _id_type(docs) == "bigint" else to_arrow_type(docs.schema["doc_id"].dataType)  # inferred ones have sorted fields
 
     def pack(number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         whole = np.array([len(texts), *map(len, texts)], "<i8").tobytes() + b"".join(texts)
         columns = [[number], [mark(ids, texts)], [ids], [len(whole)], [pa.compress(whole, codec="zstd", asbytes=True)]]
-        types = [pa.int64(), pa.int64(), None if structs else pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.list_(kind), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in TEXTS.split(", ")])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
