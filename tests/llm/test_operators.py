@@ -310,6 +310,25 @@ def test_blocks_do_not_follow_the_order_of_arrival(spark, tmp_path):
         assert len({tuple(sorted(map(tuple, marks(docs).collect()))) for _ in range(4)}) == 1
 
 
+def test_ids_of_several_fields_keep_their_places(spark):
+    docs = table(spark, [(k, f"text {k}") for k in range(50)]).select(F.struct(F.col("doc_id").alias("z"), (F.col("doc_id") + 100).alias("a")).alias("doc_id"), "text")
+    into = exchange.space(docs)
+    answers = exchange.answered(docs, lambda texts: (np.array([1], np.uint64), np.array([len(texts)])), into, 60)
+    got = exchange.matched(docs, answers, lambda number, ids, texts, counts: pa.table({"z": [i["z"] for i in ids], "a": [i["a"] for i in ids], "text": [t.decode() for t in texts], "n": np.repeat(counts, len(ids))}), "z long, a long, text string, n long", 60)
+    assert sorted(map(tuple, got.collect())) == [(k, k + 100, f"text {k}", 50) for k in range(50)]
+
+
+def test_residual_pairs_are_those_that_are_similar(spark):
+    """Without the links that buckets show, prefix filtering alone has to find each similar pair."""
+    rows = near_copies(23, 120)
+    docs = table(spark, rows)
+    nodes = docs.select("doc_id", (F.col("doc_id") * 2 + 1).alias("component"))
+    got = {tuple(r) for r in near_dedup.residual_pairs(nodes, docs, 4, 80).collect()}
+    sets = {d: brute.shingles(t, 4) for d, t in rows}
+    similar = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert similar and similar <= got and len(got) <= 3 * len(similar)
+
+
 def test_a_changed_block_is_noticed(spark):
     docs = table(spark, [(1, "a b c"), (2, "d e f")])
     into = exchange.space(docs)
