@@ -135,6 +135,15 @@ def test_connections(spark):
     assert {(r["lost_ms"], r["back_ms"]) for r in connections.outages(log).collect()} == {(2, 5), (7, None)}
 
 
+def test_outages_take_one_pass_over_a_day_and_order_equal_times(spark):
+    log = spark.createDataFrame([(4, "CONNECT", 5, "a"), (1, "CONNECT", 5, "a"), (2, "DISCONNECTED", 5, "a"), (5, "DISCONNECTED", 5, "a"), (6, "CONNECT", 9, "a")], "event_id long, event string, ts_ms long, day string")
+    rows = connections.outages(log, "event_id")
+    assert sorted((r["lost_ms"], r["back_ms"]) for r in rows.collect()) == [(5, 5), (5, 9)]
+    assert [(r["lost_ms"], r["back_ms"]) for r in connections.outages(log).collect()] == [(5, 5), (5, 5)]  # without ids
+    # A frame that shrinks is gone through again for each row.
+    assert "unboundedfollowing" not in rows._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "s.csv").write_text("exchange,symbol\nNSE, tcs \nnse,TCS\n,X\nBSE,ABC\n")
     listed = files.instruments(spark, str(tmp_path / "s.csv"))

@@ -620,7 +620,7 @@ def _(spark, d):
 
 @query("feed_outages", f"WITH {LOG} SELECT day, ts_ms AS lost_ms, back_ms FROM (SELECT *, min(CASE WHEN event = 'CONNECT' THEN ts_ms END) OVER (PARTITION BY day ORDER BY ts_ms ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS back_ms FROM log) WHERE event = 'DISCONNECTED'")
 def _(spark, d):
-    return connections.outages(_connections(spark, d))
+    return connections.outages(_connections(spark, d), "event_id")
 
 
 def queries() -> dict[str, Callable]:

@@ -26,8 +26,14 @@ def not_started(trading_days: DataFrame, events: DataFrame) -> DataFrame:
     return trading_days.join(events.select(F.col("day").alias("d")).distinct(), "d", "left_anti").select(F.lit(NOT_STARTED).alias("event"), F.col("d").alias("day"))
 
 
-def outages(events: DataFrame) -> DataFrame:
-    """day, lost_ms, back_ms: each loss and the next connect of its day, null if there was none."""
-    after = Window.partitionBy("day").orderBy("ts_ms").rowsBetween(1, Window.unboundedFollowing)
-    back = F.first(F.when(F.col("event").isin(CONNECT, AGAIN, STARTED), F.col("ts_ms")), ignorenulls=True).over(after)
+def outages(events: DataFrame, seq: str | None = None) -> DataFrame:
+    """day, lost_ms, back_ms: each loss and the next connect of its day, null if there was none.
+
+    seq is a column that orders events of one ts_ms; where it leaves ties, or without it, losses come before connects.
+    """
+    # Read from the day's end: a frame that only grows costs one pass, one that shrinks is gone through again for each row.
+    connect = F.col("event").isin(CONNECT, AGAIN, STARTED)
+    order = [F.col("ts_ms").desc(), *([F.col(seq).desc()] if seq else []), connect.desc()]
+    after = Window.partitionBy("day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    back = F.min(F.when(connect, F.col("ts_ms"))).over(after)
     return events.withColumn("back_ms", back).where(F.col("event") == LOST).select("day", F.col("ts_ms").alias("lost_ms"), "back_ms")
