@@ -129,6 +129,17 @@ def test_few_remembered_cuts_give_the_same_ids():
     assert all(own.ids(t) == own.whole(t) for t in texts)
 
 
+def test_many_texts_ask_the_library_once_for_each_word():
+    own = encoding.Encoder(encoding.default_path())
+    assert own.many(ODD_TEXTS) == [own.whole(t) for t in ODD_TEXTS] and own.many([]) == []
+    assert own.many(["a b\n", "", "a \n b", "a\n\nb c", "a b\nc d", "b\r\nc d e", "x y.\nDon't z", "x \ny z"]) == [own.whole(t) for t in ["a b\n", "", "a \n b", "a\n\nb c", "a b\nc d", "b\r\nc d e", "x y.\nDon't z", "x \ny z"]]
+    own, asked = encoding.Encoder(encoding.default_path()), []
+    merge, own.merge = own.merge, lambda letters: (asked.append(letters), merge(letters))[1]
+    texts = [f"go {a}.\n{b} {a}, {b}! {a} go" for a in ("tide", "mark", "sea") for b in ("And", "Or")]
+    assert own.many(texts) == [own.whole(t) for t in texts]
+    assert len(asked) == len(set(asked)) == 13  # six words after a blank, three without, three marks and the line's end
+
+
 def _ids(text):
     return np.frombuffer(encoding.encoder(encoding.default_path()).whole(text or "") + bytes(4), "<u4")
 

@@ -27,8 +27,8 @@ def histogram(docs: DataFrame, tokenizer: str | None = None, end_ids: int = 1) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = encoder(name), Counter()
-        for batch in batches:
-            seen.update(len(own.ids(t)) // 4 + end_ids for t in shared.texts_of(batch))
+        for batch in shared.together(batches):
+            seen.update(len(ids) // 4 + end_ids for ids in own.many(shared.texts_of(batch)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     counts = shared.spread(docs.select("text")).mapInArrow(count, "n_tokens long, n_docs long")

@@ -84,6 +84,23 @@ def sliced(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.Record
         start = end
 
 
+def together(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to so many bytes: what many texts share is then worked out once for them. None grows past that but by its last batch."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= (most or SLICE_BYTES):
+            yield _joined(some)
+            some, size = [], 0
+    if some:
+        yield _joined(some)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
 def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of a few rows of bounded text; empty results are passed over."""
 

@@ -35,8 +35,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, stripe_mb: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = encoder(name), 0
-        for batch in batches:
-            parts = [own.ids(t) + END for t in shared.texts_of(batch)]
+        for batch in shared.together(batches):
+            parts = [ids + END for ids in own.many(shared.texts_of(batch))]
             ends = np.cumsum([0, *[len(p) // 4 for p in parts]])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ends[:-1] + at), lists], ["doc_id", "file_start", "ids"])
