@@ -276,6 +276,17 @@ def test_token_files_are_pruned(spark, tmp_path):
 # ---- scores
 
 
+def test_places_of_keys_come_from_one_sort(monkeypatch):
+    rng = np.random.default_rng(7)
+    keys = [rng.integers(0, 300, n).astype(np.uint64) << np.uint64(40) for n in (400, 0, 250)]
+    value = np.unique(np.concatenate(keys))
+    want = [np.searchsorted(value, k).tolist() for k in keys]
+    monkeypatch.setattr(np, "searchsorted", None)
+    distinct, places = lm_scores.placed(keys)
+    assert distinct == len(value) and [p.tolist() for p in places] == want
+    assert lm_scores.placed([np.zeros(0, np.uint64)] * 3)[0] == 0
+
+
 def _scored(rows) -> Counter:
     return Counter((r["doc_id"], r["n_words"], r["n_backoffs"], round(r["score"], 6)) for r in rows)
 

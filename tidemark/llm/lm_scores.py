@@ -34,6 +34,15 @@ def grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], l
     return bounds, keys, there
 
 
+def placed(keys: list[np.ndarray]) -> tuple[int, list[np.ndarray]]:
+    """How many distinct keys there are in all arrays, and the place of each key among them in ascending order.
+
+    One sort gives both: unique values alone would be hashed by numpy, and each key's place bisected, at several times the cost.
+    """
+    value, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return len(value), np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+
+
 def _decoded(texts: list[bytes]) -> list[str]:
     return [t.decode() for t in texts]
 
@@ -55,16 +64,15 @@ def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, held_o
 
     def score(_: int, ids: list, texts: list[bytes], counts: np.ndarray) -> pa.Table:
         bounds, keys, there = grams(_decoded(texts), order)
-        value = np.unique(np.concatenate([into.cut(k[t]) for k, t in zip(keys, there, strict=True)]))
+        distinct, places = placed([into.cut(k[t]) for k, t in zip(keys, there, strict=True)])
         n = np.diff(bounds)
         owner = np.repeat(np.arange(len(n)), n)
         seen = []
-        for k, t in zip(keys, there, strict=True):
+        for at, t in zip(places, there, strict=True):
             found = np.zeros(len(owner), np.int64)
-            at = np.searchsorted(value, into.cut(k[t]))
             found[t] = counts[at]
             if held_out:
-                _, where, own = np.unique(owner[t] * len(value) + at, return_inverse=True, return_counts=True)
+                _, where, own = np.unique(owner[t] * distinct + at, return_inverse=True, return_counts=True)
                 found[t] -= own[where]
             seen.append(found)
         logs, steps, base = np.log(np.maximum(seen[0], 1)), np.zeros(len(owner), np.int64), np.ones(len(owner), np.int64)
