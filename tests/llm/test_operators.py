@@ -2,6 +2,7 @@ import random
 import string
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,25 @@ def test_few_remembered_cuts_give_the_same_ids():
     assert all(own.ids(t) == own.whole(t) for t in texts)
 
 
+def test_batches_are_joined_up_to_a_size():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([k, k + 1], pa.int64()), "text": pa.array([None, "ab" * k])}) for k in range(0, 20, 2)]
+    joined = list(shared.together(iter(batches), most=200))
+    assert 1 < len(joined) < len(batches) and pa.Table.from_batches(joined).equals(pa.Table.from_batches(batches))
+    assert list(shared.together(iter([]))) == []
+
+
+def test_packing_encodes_many_texts_at_once(spark, monkeypatch):
+    """The task's function, run here: it never asks for the ids of a single text."""
+    monkeypatch.setattr(shared, "spread", lambda _: SimpleNamespace(mapInArrow=lambda run, _: run))
+    monkeypatch.setattr(shared, "stored", lambda run: run)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(encoding.Encoder, "ids", None)
+    docs = [(d, None if d % 50 == 0 else f"text {d % 7}.\nAnd so on, {d}. ") for d in range(600)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs[k : k + 256]], "text": [t for _, t in docs[k : k + 256]]}) for k in range(0, 600, 256)]
+    got = pa.Table.from_batches(packing.encoded(table(spark, docs))(iter(batches))).to_pylist()
+    assert [(r["doc_id"], r["ids"]) for r in got] == [(d, _ids(t).tobytes()) for d, t in docs]
+
+
 def test_many_texts_ask_the_library_once_for_each_word():
     own = encoding.Encoder(encoding.default_path())
     assert own.many(ODD_TEXTS) == [own.whole(t) for t in ODD_TEXTS] and own.many([]) == []

@@ -144,10 +144,10 @@ def encoded(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block, row, full, ranks = encoder(name), TaskContext.get().partitionId(), 0, 0, defaultdict(int)
-        for batch in batches:
+        for batch in shared.together(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), shared.texts_of(batch), strict=True):
-                ids = own.ids(text) + END
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.many(shared.texts_of(batch)), strict=True):
+                ids += END
                 n = len(ids) // 4
                 rest = n % window
                 crcs = [zlib.crc32(ids[at : at + 4 * window]) for at in range(0, len(ids), 4 * window)]
